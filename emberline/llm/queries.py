@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.common import load
-from emberline.llm import cooccur, quality
+from emberline.common import load, written
+from emberline.llm import cooccur, mixing, packing, quality, tokens
 
 #: A pair counts from so many traces, at so many times what chance gives.
 MIN_TRACES, MIN_LIFT = 5, 3
@@ -23,6 +23,38 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifted.select(F.col("grp").alias("db"), "node_a", "node_b")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    return [tuple(r) for r in load(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens").limit(1000).collect()]
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = written(tokens.with_tokens(load(spark, sf_dir, "documents"), "doc_id"), "tokens")
+    return packing.pack(docs, _sizes(spark, sf_dir))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document goes, for every capacity."""
+    return _packed(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir), _sizes(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = written(tokens.with_tokens(load(spark, sf_dir, "documents"), "doc_id", "source"), "tokens")
+    return mixing.mix(docs, load(spark, sf_dir, "mix_targets"))
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection, in its order."""
+    return _mixed(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_mixed(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+
+
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents"))
 
@@ -31,7 +63,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents")).where("NOT is_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p9_found, p9_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_quality)}
 
 _PAIRS = """
 WITH m AS (SELECT DISTINCT db, trace_id, unnest(surfaced).node AS node FROM traces WHERE db IS NOT NULL AND trace_id IS NOT NULL),
