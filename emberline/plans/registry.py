@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.plans import problems
+from emberline.plans import graph_queries, graph_sql, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **graph_queries.QUERIES}
+SQL = {**problems.SQL, **graph_sql.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p4_found"](spark, sf_dir)
+    return graph_queries.spread_activation(spark, sf_dir)
