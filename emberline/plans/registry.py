@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.plans import graph_queries, graph_sql, problems
+from emberline.plans import graph_queries, graph_sql, problems, source_queries
 
-QUERIES = {**problems.QUERIES, **graph_queries.QUERIES}
-SQL = {**problems.SQL, **graph_sql.SQL}
+QUERIES = {**problems.QUERIES, **graph_queries.QUERIES, **source_queries.QUERIES}
+SQL = {**problems.SQL, **graph_sql.SQL, **source_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
