@@ -22,7 +22,7 @@ def boundaries(intervals: DataFrame, entity: Sequence[str], start: str, end: str
 
 
 def ranked_boundaries(
-    intervals: DataFrame, entity: Sequence[str], start: str, end: str, slices: int = SLICES, raw: DataFrame | None = None
+    intervals: DataFrame, entity: Sequence[str], start: str, end: str, slices: int | None = None, raw: DataFrame | None = None
 ) -> DataFrame:
     """(entity, _t, _starts, _ends, _s_to, _e_to): the greatest rank of the entity's starts and of its ends at each time.
 
@@ -32,7 +32,7 @@ def ranked_boundaries(
     a slice of it. Where the slices lie changes no result: ``raw``, if given, is a
     cheaper frame with ``entity`` and ``start`` to find heavy entities and slices from.
     """
-    entity = list(entity)
+    entity, slices = list(entity), slices or SLICES
     marks = boundaries(intervals, entity, start, end)
     raw = intervals if raw is None else raw
     heavy = guess_heavy(raw, entity)
