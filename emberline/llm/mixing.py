@@ -89,4 +89,4 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = targets.select("source", "target_share", "max_repeats").join(F.broadcast(per), "source", "left").select("source", "target_share", "max_repeats", zero("n_docs"), zero("n_uses"), zero("n_tokens"))
     everything = Window.partitionBy()  # a row per target
-    return out.withColumn("actual_share", F.round(F.col("n_tokens") / F.sum("n_tokens").over(everything), 6))
+    return out.withColumn("actual_share", F.round(F.coalesce(F.try_divide(F.col("n_tokens"), F.sum("n_tokens").over(everything)), F.lit(0.0)), 6))

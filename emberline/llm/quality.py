@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.textstats import COMMON, COUNTS, WORD, count, ends_sentence, is_item, is_prose
+from emberline.llm.textstats import CLOSERS, COMMON, COUNTS, WORD_HEAD, count, ends_sentence, is_item, is_prose
 
 #: Characters of a piece; a longer text is counted piece by piece.
 CHUNK_CHARS = 1 << 16
@@ -21,25 +21,26 @@ _COUNT_FIELDS = [pa.field(c, pa.float64()) for c in COUNTS]
 _PIECE = pa.schema(
     [pa.field("_id", pa.int64()), pa.field("_chunk", pa.int64()), *_COUNT_FIELDS]
     + [pa.field("_head", pa.string()), pa.field("_tail", pa.string()), pa.field("_whole", pa.bool_())]
-    + [pa.field(f, pa.bool_()) for f in ("_line_open", "_line_first", "_breaks", "_ends", "_bullet")]
+    + [pa.field(f, pa.bool_()) for f in ("_line_open", "_line_first", "_breaks", "_ends", "_bullet", "_first_solid", "_last_solid")]
 )
-_PIECE_DDL = ", ".join(["_id long", "_chunk long", *[f"{c} double" for c in COUNTS], "_head string", "_tail string", *[f"{f} boolean" for f in ("_whole", "_line_open", "_line_first", "_breaks", "_ends", "_bullet")]])
+_PIECE_DDL = ", ".join(["_id long", "_chunk long", *[f"{c} double" for c in COUNTS], "_head string", "_tail string", *[f"{f} boolean" for f in ("_whole", "_line_open", "_line_first", "_breaks", "_ends", "_bullet", "_first_solid", "_last_solid")]])
 
 
 def _edges(text: str) -> tuple:
     """What the cut at a piece's ends may have gone through: the word at its head and
     at its tail, whether all is one word; whether its last and first line have text,
-    whether it breaks a line, whether its last line counted as ended and its first as an item."""
-    head, tail = "", ""
-    if m := WORD.match(text):
-        head = m[0]
+    whether it breaks a line, whether its last line counted as ended and its first as an
+    item, whether its first and last line have more than what may close a sentence."""
+    head = WORD_HEAD.match(text)[0]
     last = len(text)
-    while last and WORD.fullmatch(text[last - 1]):
+    while last and WORD_HEAD.fullmatch(text[last - 1]):
         last -= 1
     tail = text[last:]
     whole = bool(text) and len(head) == len(text)
+    if not any(map(str.isalpha, head)):
+        head = ""
     first, last_line = text.partition("\n")[0], text.rpartition("\n")[2]
-    return head[:EDGE_CHARS], tail[-EDGE_CHARS:], whole, bool(last_line.strip()), bool(first.strip()), "\n" in text, ends_sentence(last_line), is_item(first)
+    return head[:EDGE_CHARS], tail[-EDGE_CHARS:], whole, bool(last_line.strip()), bool(first.strip()), "\n" in text, ends_sentence(last_line), is_item(first), bool(first.strip(CLOSERS)), bool(last_line.strip(CLOSERS))
 
 
 def _pieces(chunked: bool, size: int):
@@ -80,7 +81,7 @@ def text_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk
 
 
 def merge_pieces(pieces: DataFrame) -> DataFrame:
-    edge = F.struct("_chunk", "_head", "_tail", "_whole", "_line_open", "_line_first", "_breaks", "_ends", "_bullet")
+    edge = F.struct("_chunk", "_head", "_tail", "_whole", "_line_open", "_line_first", "_breaks", "_ends", "_bullet", "_first_solid", "_last_solid")
     sums = pieces.groupBy("_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.array_sort(F.collect_list(edge)).alias("_edges"))
     common = F.array(*[F.lit(w) for w in sorted(COMMON)])
     is_common = lambda w: F.when(F.array_contains(common, F.lower(w)), 1.0).otherwise(0.0)
@@ -94,11 +95,12 @@ def merge_pieces(pieces: DataFrame) -> DataFrame:
         joined = (F.length(acc["open"]) > 0) & (F.length(e["_head"]) > 0)
         whole = F.concat(acc["open"], e["_head"])
         # one word was counted as two; if the head runs on it stays open
-        fix = F.when(joined, is_common(whole) - is_common(acc["open"]) - is_common(e["_head"])).otherwise(0.0)
+        fix = F.when(joined, is_common(whole) - is_common(acc["open"]) - is_common(F.regexp_replace(e["_head"], "^[\u0300-\u036f]+", ""))).otherwise(0.0)
         open_ = F.when(e["_whole"] & joined, F.substring(whole, 1, EDGE_CHARS)).otherwise(e["_tail"])
         both = acc["line"] & e["_line_first"]
         line = F.when(e["_breaks"], e["_line_open"]).otherwise(acc["line"] | e["_line_open"])
-        ended = F.when(e["_breaks"] | e["_line_open"], e["_ends"]).otherwise(acc["ended"])
+        # quotes and brackets alone leave the end of a sentence before them what it was
+        ended = F.when(e["_breaks"] | e["_last_solid"], e["_ends"]).otherwise(acc["ended"])
         return F.struct(
             open_.alias("open"),
             line.alias("line"),
@@ -106,7 +108,7 @@ def merge_pieces(pieces: DataFrame) -> DataFrame:
             (acc["words"] + less(joined)).alias("words"),
             (acc["common"] + fix).alias("common"),
             (acc["lines"] + less(both)).alias("lines"),
-            (acc["ends"] + less(both & acc["ended"])).alias("ends"),
+            (acc["ends"] + less(both & acc["ended"] & e["_first_solid"])).alias("ends"),
             (acc["bullets"] + less(acc["line"] & e["_bullet"])).alias("bullets"),
         )
 

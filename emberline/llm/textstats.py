@@ -30,6 +30,8 @@ CJK = re.compile(f"[{_CJK}]")
 HIRAGANA = re.compile("[ぁ-ゖ]")
 #: A word: a run of letters, also of joined marks, in any script but those written without spaces.
 WORD = re.compile(rf"(?:[^\W\d_{_CJK}]+[̀-ͯ]*)+")
+#: What of a word a text may begin with: marks that belong to a letter before it, and letters.
+WORD_HEAD = re.compile(rf"(?:[^\W\d_{_CJK}]|[̀-ͯ])*")
 _ASCII_WORD = re.compile("[A-Za-z]+")
 #: Characters of a script without spaces that make about one word.
 CJK_WORD = 2.2
