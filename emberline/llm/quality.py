@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.common import spread_rows
 from emberline.llm.textstats import CLOSERS, COMMON, COUNTS, WORD_HEAD, count, ends_sentence, is_item, is_prose
 
 #: Characters of a piece; a longer text is counted piece by piece.
@@ -69,7 +70,7 @@ def text_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk
     """
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.lit(0).cast("long").alias("_first"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     length = F.length("_text")
-    small = docs.where(length <= spread_chars).mapInArrow(_pieces(False, chunk_chars), _PIECE_DDL)
+    small = spread_rows(docs.where(length <= spread_chars), "_id").mapInArrow(_pieces(False, chunk_chars), _PIECE_DDL)
     starts = F.sequence(F.lit(0), F.floor((length - 1) / chunk_chars).cast("int"))
     cut = F.col("_text").substr(F.col("_k") * chunk_chars + 1, F.lit(chunk_chars))
     large = (
@@ -86,22 +87,25 @@ def merge_pieces(pieces: DataFrame) -> DataFrame:
     common = F.array(*[F.lit(w) for w in sorted(COMMON)])
     is_common = lambda w: F.when(F.array_contains(common, F.lower(w)), 1.0).otherwise(0.0)
     zero = F.struct(
-        F.lit("").alias("open"), F.lit(False).alias("line"), F.lit(False).alias("ended"),
+        F.lit(-1).cast("long").alias("chunk"), F.lit("").alias("open"), F.lit(False).alias("line"), F.lit(False).alias("ended"),
         *[F.lit(0.0).alias(c) for c in ("words", "common", "lines", "ends", "bullets")],
     )
     less = lambda test: F.when(test, -1.0).otherwise(0.0)
 
     def step(acc: Column, e: Column) -> Column:
-        joined = (F.length(acc["open"]) > 0) & (F.length(e["_head"]) > 0)
+        follows = e["_chunk"] == acc["chunk"] + 1
+        joined = follows & (F.length(acc["open"]) > 0) & (F.length(e["_head"]) > 0)
         whole = F.concat(acc["open"], e["_head"])
         # one word was counted as two; if the head runs on it stays open
         fix = F.when(joined, is_common(whole) - is_common(acc["open"]) - is_common(F.regexp_replace(e["_head"], "^[\u0300-\u036f]+", ""))).otherwise(0.0)
         open_ = F.when(e["_whole"] & joined, F.substring(whole, 1, EDGE_CHARS)).otherwise(e["_tail"])
-        both = acc["line"] & e["_line_first"]
-        line = F.when(e["_breaks"], e["_line_open"]).otherwise(acc["line"] | e["_line_open"])
+        runs_on = follows & acc["line"]
+        both = runs_on & e["_line_first"]
+        line = F.when(e["_breaks"], e["_line_open"]).otherwise(runs_on | e["_line_open"])
         # quotes and brackets alone leave the end of a sentence before them what it was
         ended = F.when(e["_breaks"] | e["_last_solid"], e["_ends"]).otherwise(acc["ended"])
         return F.struct(
+            e["_chunk"].alias("chunk"),
             open_.alias("open"),
             line.alias("line"),
             ended.alias("ended"),
@@ -109,7 +113,7 @@ def merge_pieces(pieces: DataFrame) -> DataFrame:
             (acc["common"] + fix).alias("common"),
             (acc["lines"] + less(both)).alias("lines"),
             (acc["ends"] + less(both & acc["ended"] & e["_first_solid"])).alias("ends"),
-            (acc["bullets"] + less(acc["line"] & e["_bullet"])).alias("bullets"),
+            (acc["bullets"] + less(runs_on & e["_bullet"])).alias("bullets"),
         )
 
     fixed = F.when(F.size("_edges") > 1, F.aggregate("_edges", zero, step)).otherwise(zero)
@@ -139,8 +143,7 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     words, words in no order, one thing over and over) are not.
 
     Defined cases: a null or empty text has no words, ratios of 0 and is no prose;
-    a null ``doc_id`` gives no row; a repeated ``doc_id`` has its texts counted as
-    one; a text of any length is read whole; an empty table gives no rows; other
+    a null ``doc_id`` gives no row; the counts of a repeated ``doc_id`` are added up; a text of any length is read whole; an empty table gives no rows; other
     columns are not read.
     """
     c = text_counts(df, doc_id, text, **options)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.common import spread_rows
+
 #: Place of the vocabulary: rank file lines of base64 bytes and rank. Never part of this repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's own rule for cutting text before merges.
@@ -38,4 +40,5 @@ def token_count(text: str | Column, path: str = VOCABULARY) -> Column:
 
 
 def with_tokens(df: DataFrame, *columns: str, text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    return df.select(*columns, token_count(F.col(text).cast("string"), path).alias("tokens"))
+    """``columns`` and ``tokens`` of each row; texts are spread if they lie in few files."""
+    return spread_rows(df.select(*columns, text), columns[0]).select(*columns, token_count(F.col(text).cast("string"), path).alias("tokens"))

@@ -73,6 +73,8 @@ def test_quality_cases(spark):
     assert got[4]["n_words"] == 30_000 * 14 and got[2]["n_words"] == 0 and got[2]["symbol_ratio"] == 0.0
     assert got[5]["bullet_share"] == 1.0 and got[1]["end_punct_share"] == 1.0
     assert quality.quality(df.limit(0)).count() == 0
+    twice = quality.text_counts(df.where("doc_id = 1").unionByName(df.where("doc_id = 1"))).first()
+    assert twice["n_words"] == 2 * got[1]["n_words"]
 
 
 def test_agrees_with_the_labels(spark):
