@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,25 @@ def build_session(app: str = "emberline", cores: str | int = "*", **conf: str) -
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, whatever their working folder holds."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="emberline-")  # read by the driver only, which serves it to all executors
+    with zipfile.ZipFile(os.path.join(folder, "emberline_package.zip"), "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(z.filename)
+    _SHIPPED.add(context.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -66,6 +86,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a checkpoint that keeps
     the columns' statistics and lets later scans prune columns."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
@@ -81,6 +102,14 @@ def broadcast_checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most) else df
 
 
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work in Python that costs far more than
+    moving its rows. A scan of many files has enough and stays as it is; only a few small files are spread."""
+    ship(df.sparkSession)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def real_edges(edges: DataFrame) -> DataFrame:
     """Rows of ``edges`` that are edges: those with a target."""
     return edges.where(F.col("dst").isNotNull())

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.common import spread_rows
 from emberline.functions.jsonindex import ARRAY, OBJECT, STRING, JsonIndex
 
 #: Bytes of JSON text that are indexed together; a longer text is indexed alone.
@@ -108,7 +109,7 @@ def json_children(df: DataFrame, record_id: str, text: str, extract, reread: boo
     """Child rows that ``extract`` takes from the index of each text; with ``reread`` a text that
     is a JSON string is read once more as the text it holds."""
     texts = df.select(F.col(record_id).cast("long"), F.col(text).cast("string")).where(F.col(record_id).isNotNull() & F.col(text).isNotNull())
-    return texts.mapInArrow(_children(extract, reread), CHILD_SCHEMA)
+    return spread_rows(texts, texts.columns[0]).mapInArrow(_children(extract, reread), CHILD_SCHEMA)
 
 
 def _array_children(df: DataFrame, rel: str, record_id: str, array: str, child) -> DataFrame:
