@@ -17,7 +17,7 @@ BLOCK_BASKETS = 8192
 #: Rare items of a basket that are paired in place; one with more is cut into lists of about so many.
 LIST_ITEMS = 256
 
-_PAIR = "grp string, i int, j int, n long"
+_PAIR = "p long, q long, n long"
 
 
 def incidences(df: DataFrame, group: str, basket: str, items: str, field: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -32,19 +32,19 @@ def incidences(df: DataFrame, group: str, basket: str, items: str, field: str |
 def _popcounts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of frequent items in one block of baskets: AND of bit rows, popcount."""
     baskets, column = np.unique(pdf["_b"].to_numpy(), return_inverse=True)
-    items, row = np.unique(pdf["_k"].to_numpy(), return_inverse=True)
+    items, row = np.unique(pdf["_id"].to_numpy(), return_inverse=True)
     dense = np.zeros((len(items), -(-len(baskets) // 64) * 64), bool)
     dense[row, column] = True
     bits = np.packbits(dense, axis=1).view(np.uint64)
-    out_i, out_j, out_n = [], [], []
+    p, q, counts = [], [], []
     for a in range(len(items) - 1):
         n = np.bitwise_count(bits[a] & bits[a + 1 :]).sum(axis=1)
         at = np.flatnonzero(n)
-        out_i.append(np.full(len(at), items[a]))
-        out_j.append(items[a + 1 :][at])
-        out_n.append(n[at])
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return pd.DataFrame({"grp": key[0], "i": join(out_i, "int32"), "j": join(out_j, "int32"), "n": join(out_n, "int64")})
+        p.append(np.full(len(at), items[a]))
+        q.append(items[a + 1 :][at])
+        counts.append(n[at])
+    join = lambda x: np.concatenate(x).astype("int64") if x else np.zeros(0, "int64")
+    return pd.DataFrame({"p": join(p), "q": join(q), "n": join(counts)})
 
 
 def cooccurrence(
@@ -79,81 +79,74 @@ def cooccurrence(
     """
     marks, sizes = incidences(df, group, basket, items, field)
     marks = written(marks, "marks")
-    counts = marks.groupBy("_g", "_x").agg(F.count("*").alias("_c")).where(F.col("_c") >= min_count)
-    counts = counts.join(sizes, "_g")
+    counts = marks.groupBy("_g", "_x").agg(F.count("*").alias("_c")).where(F.col("_c") >= min_count).join(sizes, "_g")
     dense = counts.where(F.col("_c") >= heavy_share * F.col("_n"))
     rank = Window.partitionBy("_g").orderBy(F.desc("_c"), "_x")
     heavy = dense.withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= most_heavy)
-    counts = written(counts.join(heavy.select("_g", "_x", "_k"), ["_g", "_x"], "left"), "counts")
-    heavy = counts.where("_k IS NOT NULL")
-    small_heavy = broadcast_checked(heavy.select("_g", "_x", "_k", "_c", "_n"))
+    counts = counts.join(heavy.select("_g", "_x", F.lit(True).alias("_heavy")), ["_g", "_x"], "left")
+    # an item of a group has a number from here on; it stays what it was written as
+    counts = written(counts.withColumn("_id", F.monotonically_increasing_id()), "counts")
+    small_heavy = broadcast_checked(counts.where("_heavy").select("_g", "_x", "_id", "_n"))
 
     # frequent items of each basket, and the rare ones
-    of_heavy = marks.join(small_heavy, ["_g", "_x"]).select("_g", "_b", "_k", "_n")
+    of_heavy = marks.join(small_heavy, ["_g", "_x"]).select("_g", "_b", "_id", "_n")
     rest = marks.join(small_heavy.select("_g", "_x"), ["_g", "_x"], "left_anti")
-    rare = rest.join(counts.where("_k IS NULL").select("_g", "_x", "_c"), ["_g", "_x"])
-    rare = written(rare.select("_g", "_b", "_x", "_c"), "rare")
+    rare = written(rest.join(counts.where("_heavy IS NULL").select("_g", "_x", "_id"), ["_g", "_x"]).select("_g", "_b", "_id"), "rare")
 
     blocks = F.ceil(F.col("_n") / BLOCK_BASKETS)
     hh = (
-        of_heavy.select("_g", "_b", "_k", F.pmod(F.xxhash64("_b"), blocks).alias("_block"))
+        of_heavy.select("_g", "_b", "_id", F.pmod(F.xxhash64("_b"), blocks).alias("_block"))
         .groupBy("_g", "_block").applyInPandas(_popcounts, _PAIR)
-        .groupBy("grp", "i", "j").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_count)
+        .groupBy("p", "q").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_count)
     )
-    name = lambda k, x, c: small_heavy.select(F.col("_g").alias("grp"), F.col("_k").alias(k), F.col("_x").alias(x), F.col("_c").alias(c))
-    hh = hh.join(name("i", "x", "cx"), ["grp", "i"]).join(name("j", "y", "cy"), ["grp", "j"]).select("grp", "x", "y", "n_ab", "cx", "cy")
-
     big = rare.groupBy("_g", "_b").agg(F.count("*").alias("_m")).where(F.col("_m") > list_items)
     big = broadcast_checked(big.select("_g", "_b", F.ceil(F.col("_m") / list_items).alias("_parts")))
     lists = (
         rare.join(big, ["_g", "_b"], "left")
-        .withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_x"), F.col("_parts")), F.lit(0)))
+        .withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_parts")), F.lit(0)))
         .groupBy("_g", "_b", "_part", F.col("_parts").isNotNull().alias("_big"))
-        .agg(F.sort_array(F.collect_list(F.struct("_x", "_c"))).alias("_list"))
+        .agg(F.sort_array(F.collect_list("_id")).alias("_list"))
     )
-    probes = of_heavy.groupBy("_g", "_b").agg(F.collect_list("_k").alias("_ks"))
+    probes = of_heavy.groupBy("_g", "_b").agg(F.collect_list("_id").alias("_ids"))
     lh = (
         lists.join(probes, ["_g", "_b"])
-        .select("_g", "_ks", F.explode("_list").alias("_l")).select("_g", "_l", F.explode("_ks").alias("j"))
-        .groupBy(F.col("_g").alias("grp"), F.col("_l._x").alias("x"), "j").agg(F.count("*").alias("n_ab"), F.max("_l._c").alias("cx"))
-        .where(F.col("n_ab") >= min_count)
-        .join(name("j", "y", "cy"), ["grp", "j"]).select("grp", "x", "y", "n_ab", "cx", "cy")
+        .select("_ids", F.explode("_list").alias("p")).select("p", F.explode("_ids").alias("q"))
+        .groupBy("p", "q").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
     )
-
     ll = _rare_pairs(lists, rare, big, min_count)
+
+    item = lambda k, x, c: counts.select(F.col("_id").alias(k), F.col("_x").alias(x), F.col("_c").alias(c), F.col("_g").alias("grp"), F.col("_n").alias("n"))
     pairs = hh.unionByName(lh).unionByName(ll)
+    pairs = pairs.join(item("p", "x", "cx"), "p").join(item("q", "y", "cy").drop("grp", "n"), "q")
     ordered = F.col("x") < F.col("y")
     pick = lambda a, b: F.when(ordered, F.col(a)).otherwise(F.col(b))
-    out = pairs.select("grp", pick("x", "y").alias("node_a"), pick("y", "x").alias("node_b"), "n_ab", pick("cx", "cy").alias("n_a"), pick("cy", "cx").alias("n_b"))
-    out = out.join(broadcast_checked(sizes.select(F.col("_g").alias("grp"), F.col("_n").alias("n"))), "grp")
+    out = pairs.select("grp", pick("x", "y").alias("node_a"), pick("y", "x").alias("node_b"), "n_ab", pick("cx", "cy").alias("n_a"), pick("cy", "cx").alias("n_b"), "n")
     return out.withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b")))
 
 
 def _in_list(lists: DataFrame) -> DataFrame:
-    left = lists.select("_g", "_list", F.posexplode("_list").alias("_i", "_p"))
-    return left.select("_g", "_p", F.explode(F.expr("slice(_list, _i + 2, size(_list))")).alias("_q"))
+    left = lists.select("_list", F.posexplode("_list").alias("_i", "p"))
+    return left.select("p", F.explode(F.expr("slice(_list, _i + 2, size(_list))")).alias("q"))
 
 
 def _rare_pairs(lists: DataFrame, rare: DataFrame, big: DataFrame, min_count: int) -> DataFrame:
     most = big.groupBy("_g").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
     small = _in_list(lists.where("NOT _big"))
-    keys = [F.col("_g").alias("grp"), F.col("_p._x").alias("x"), F.col("_q._x").alias("y")]
-    counted = lambda pairs: pairs.groupBy(*keys).agg(F.count("*").alias("n_ab"), F.max("_p._c").alias("cx"), F.max("_q._c").alias("cy"))
+    counted = lambda pairs: pairs.groupBy("p", "q").agg(F.count("*").alias("n_ab"))
     if not most:
         return counted(small).where(F.col("n_ab") >= min_count)
     if most < min_count:
         found = counted(small).where(F.col("n_ab") >= min_count - most)
-        within = rare.join(big.select("_g", "_b"), ["_g", "_b"]).select(F.col("_g").alias("grp"), "_b", "_x")
+        within = rare.join(big.select("_g", "_b"), ["_g", "_b"]).select("_b", "_id")
         more = (
-            found.select("grp", "x", "y").join(within.withColumnRenamed("_x", "x"), ["grp", "x"])
-            .join(within.withColumnRenamed("_x", "y"), ["grp", "_b", "y"]).groupBy("grp", "x", "y").agg(F.count("*").alias("_more"))
+            found.select("p", "q").join(within.withColumnRenamed("_id", "p"), "p")
+            .join(within.withColumnRenamed("_id", "q"), ["_b", "q"]).groupBy("p", "q").agg(F.count("*").alias("_more"))
         )
-        total = found.join(more, ["grp", "x", "y"], "left").withColumn("n_ab", F.col("n_ab") + F.coalesce("_more", F.lit(0)))
+        total = found.join(more, ["p", "q"], "left").withColumn("n_ab", F.col("n_ab") + F.coalesce("_more", F.lit(0)))
         return total.drop("_more").where(F.col("n_ab") >= min_count)
     parts = lists.where("_big")
     other = parts.select("_g", "_b", F.col("_part").alias("_part2"), F.col("_list").alias("_list2"))
     across = parts.join(other, ["_g", "_b"]).where("_part < _part2").repartition("_g", "_b", "_part", "_part2")
-    across = across.select("_g", F.explode("_list").alias("_u"), "_list2").select("_g", "_u", F.explode("_list2").alias("_v"))
-    first = F.col("_u._x") < F.col("_v._x")
-    across = across.select("_g", F.when(first, F.col("_u")).otherwise(F.col("_v")).alias("_p"), F.when(first, F.col("_v")).otherwise(F.col("_u")).alias("_q"))
+    across = across.select(F.explode("_list").alias("_u"), "_list2").select("_u", F.explode("_list2").alias("_v"))
+    across = across.select(F.least("_u", "_v").alias("p"), F.greatest("_u", "_v").alias("q"))
     return counted(small.unionByName(_in_list(parts)).unionByName(across)).where(F.col("n_ab") >= min_count)
