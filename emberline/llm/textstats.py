@@ -97,6 +97,8 @@ def weigh(text: str) -> tuple[float, float, int]:
 _VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœýÿ]")
 _LATIN = re.compile(r"[a-zà-ÿœ]")
 _RUN = re.compile(r"(.)\1{3,}")
+#: How no word of a Latin script begins, and a q that no vowel u follows.
+_NO_START = re.compile(r"(?!pf)[bdfgjkmpqrtvwxz][bcdfgjkmpqtvxz]|.*q(?!u|$)")
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{6,}")
 
 
@@ -115,6 +117,8 @@ def _odd(word: str, low: str) -> bool:
         vowels = len(_VOWEL.findall(low))
         if vowels == 0 and not word.isupper():
             return True
+        if n >= 4 and _NO_START.match(low):
+            return True
         if n >= 5 and (vowels / n < 0.15 or vowels / n > 0.85) or _CONSONANTS.search(low):
             return True
     inner = word[1:]
