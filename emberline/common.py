@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -53,6 +55,7 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             z.write(path, str(path.relative_to(root.parent)))
     context.addPyFile(z.filename)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _SHIPPED.add(context.applicationId)
 
 
@@ -64,12 +67,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that setting is
-    absent (a single machine, as in tests) a folder of this process is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Where that setting is absent
+    it is a folder in the warehouse, or on a single machine, as in tests, one of
+    this process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_emberline"
     return os.path.join(tempfile.gettempdir(), f"emberline-{os.getpid()}")
 
 
@@ -84,11 +91,14 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a checkpoint that keeps
-    the columns' statistics and lets later scans prune columns."""
+    the columns' statistics and lets later scans prune columns. It is deleted when
+    the application ends."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
 
 

@@ -93,4 +93,5 @@ def heavy_nodes(edges: DataFrame, share: float = 0.02) -> DataFrame:
     counts = salted_aggregate(
         endpoint_rows(edges, with_weight=False), ["side", "node"], {"n": F.count("*")}, {"n_rows": F.sum("n")}, total=2 * total
     )
-    return counts.where(F.col("n_rows") >= F.lit(share) * F.lit(total)).select("side", "node")
+    least = F.lit(str(share)).cast("decimal(18,9)") * F.lit(total)  # exact, for nodes right at the share
+    return counts.where(F.col("n_rows") >= least).select("side", "node")

@@ -14,6 +14,7 @@ from emberline.common import T_MAX, load, real_edges
 from emberline.config import Config
 from emberline.functions.weights import alive, decay_rate, effective, millis, name_tokens, trust
 from emberline.operators import learn, maintain, match, snapshots, spread, temporal, traverse
+from emberline.sources import stores
 
 KEY = ["src", "dst", "kind", "valid_from"]
 T1, T2 = 1_715_000_000_000, 1_735_000_000_000
@@ -158,6 +159,63 @@ def sleep(spark, sf_dir):
     return state.select(*KEY, F.round("weight", 6).alias("weight"), "dead", "protected")
 
 
+def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations hold customers, customers placed orders: a graph out of the star schema."""
+    customer = load(spark, sf_dir, "customer")
+    held = customer.select(F.concat(F.lit("nation/"), "c_nationkey").alias("src"), F.concat(F.lit("customer/"), "c_custkey").alias("dst"), F.lit("HAS_CUSTOMER").alias("kind"), F.lit(0).cast("long").alias("valid_from"), F.lit(T_MAX).alias("valid_to"))
+    orders = load(spark, sf_dir, "orders").withColumn("t", millis("o_orderdate"))
+    ends = F.when(F.col("o_orderstatus") == "F", F.col("t") + 90 * 86_400_000).otherwise(T_MAX)
+    placed = orders.select(F.concat(F.lit("customer/"), "o_custkey").alias("src"), F.concat(F.lit("order/"), "o_orderkey").alias("dst"), F.lit("PLACED").alias("kind"), F.col("t").alias("valid_from"), ends.alias("valid_to"))
+    both = held.unionByName(placed)
+    return both.select("*", F.lit(None).cast("double").alias("weight"), F.col("valid_from").alias("t_last"), F.lit(None).cast("string").alias("origin"))
+
+
+T_STAR = 883_612_800_000  # 1998-01-01
+
+
+def spread_two_hop(spark, sf_dir):
+    """Customers and orders most activated from the nations of region 1."""
+    config = Config(lambda_base=1e-9)
+    edges = star_edges(spark, sf_dir)
+    nations = load(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.lit("r1").alias("query"), F.concat(F.lit("nation/"), "n_nationkey").alias("node"))
+    names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    out = spread.spread(spread.weighted_edges(edges, T_STAR, config), names, nations, config, depth=2)
+    return out.activation.select("node", F.round("act", 6).alias("act"))
+
+
+def semantic_seed_spread(spark, sf_dir):
+    """Nodes a vector resolves to, united with a named one, as seeds; a node's vector is that of its id."""
+    vectors = load(spark, sf_dir, "embeddings")
+    top = match.match_vector(vectors, _vector(spark, sf_dir), 4)
+    ids = load(spark, sf_dir, "nodes").select(F.col("node_id").alias("vec_id"), F.col("name").alias("node")).distinct()
+    resolved = ids.join(F.broadcast(top.select("vec_id")), "vec_id").select("node")
+    seeds = resolved.unionByName(spark.createDataFrame([(HUB,)], "node string")).distinct().select(F.lit("v").alias("query"), "node")
+    edges = spread.weighted_edges(graph(spark, sf_dir), T2, CONFIG)
+    out = spread.spread(edges, names_at(spark, sf_dir, T2), seeds, CONFIG, depth=1)
+    return out.activation.select("node", F.round("act", 6).alias("act"))
+
+
+def order_dependent_hops(spark, sf_dir):
+    """Hops in which processing nodes one after the other could give another result."""
+    seeds = spark.createDataFrame(SEEDS, "query string, node string")
+    edges = spread.weighted_edges(graph(spark, sf_dir), T2, CONFIG)
+    return spread.has_order_dependence(edges, names_at(spark, sf_dir, T2), seeds, 2)
+
+
+def parity_spread_kernel(spark, sf_dir):
+    """The seeds' retrievals with nodes processed one after the other."""
+    seeds = spark.createDataFrame([(q, i, n) for i, (q, n) in enumerate(SEEDS)], "query string, pos int, node string")
+    edges = spread.weighted_edges(graph(spark, sf_dir), T2, CONFIG)
+    live = seeds.join(names_at(spark, sf_dir, T2).withColumnRenamed("name", "node"), "node", "left_semi")
+    return spread.sequential_spread(edges, live, CONFIG, depth=2).select("query", "node", F.round("act", 6).alias("act"))
+
+
+def trace_retention(spark, sf_dir):
+    """The newest 256 traces as a capped store keeps them."""
+    traces = load(spark, sf_dir, "traces").select("trace_id", "edges_fired").distinct()
+    return stores.keep_latest(traces, "trace_id", 256)
+
+
 # -- feedback ----------------------------------------------------------------------
 
 
@@ -360,5 +418,5 @@ effective_weight trust_mask spread_activation spread_three_hop_topk spread_trace
 conflicts_functional sleep feedback_graded feedback_episodic_uniform feedback_episodic_activation feedback_miss_penalty feedback_report match_tokens_prefix
 match_substring name_token_counts match_vector_topk reconcile_stale_nodes reconcile_stale_edges purge_by_origin checkpoint_open_state byte_estimate
 export_top_salient export_concentration export_paths_1_3 node_versions_scd2 edge_intervals_islands touch_linear touch_ordered_fold homeostat_series
-ratcheted_clock request_histogram idempotent_dedup""".split()
+ratcheted_clock request_histogram idempotent_dedup spread_two_hop semantic_seed_spread order_dependent_hops parity_spread_kernel trace_retention""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from emberline.common import T_MAX
-from emberline.plans.graph_queries import CONFIG, HUB, PREFIX, SEEDS, SINK, T1, T2
+from emberline.plans.graph_queries import CONFIG, HUB, PREFIX, SEEDS, SINK, T1, T2, T_STAR
 
 C = CONFIG
 _G = f"""
@@ -28,14 +28,14 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def _spread(depth: int) -> list[str]:
-    seeds = ", ".join(f"('{q}', '{n}')" for q, n in SEEDS)
+def _spread(depth: int, seeds: str = "") -> list[str]:
+    seeds = seeds or "SELECT query, node FROM (VALUES " + ", ".join(f"('{q}', '{n}')" for q, n in SEEDS) + ") s(query, node)"
     parts = [
         _G,
         _NAMES,
         f"w AS (SELECT src, dst, kind, valid_from, greatest({_EFF} * {_TRUST}, 0) AS w FROM g WHERE {_ALIVE_EDGES})",
         "e AS (SELECT w.*, m.mass FROM w JOIN (SELECT src, sum(w) AS mass FROM w GROUP BY src) m USING (src) WHERE m.mass > 0)",
-        f"s AS (SELECT query, node FROM (VALUES {seeds}) s(query, node) WHERE node IN (SELECT name FROM names))",
+        f"s AS (SELECT query, node FROM ({seeds}) WHERE node IN (SELECT name FROM names))",
         "a0 AS (SELECT DISTINCT query, node, 1.0::DOUBLE AS act FROM s)",
         "q1 AS (SELECT query, node, 1.0::DOUBLE AS act FROM s)",
     ]
@@ -211,6 +211,24 @@ FROM f JOIN o ON o.event_type = f.event_type AND o.k = f.k + 1)"""])
     "ratcheted_clock": _with(_EV, "c AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS clock FROM ev)")
     + "SELECT user_id, count(DISTINCT clock) AS n_times, max(clock - t) AS most_back FROM c GROUP BY user_id",
     "request_histogram": "SELECT event_type AS route, count(*) AS le_inf, " + ", ".join(f"count(*) FILTER (value <= {b}) AS le_{b}" for b in (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000)) + ", round(sum(value), 4) AS total FROM events GROUP BY event_type",
+    "spread_two_hop": f"""WITH e AS (SELECT 'nation/' || c_nationkey AS src, 'customer/' || c_custkey AS dst, 0::BIGINT AS f, {T_MAX} AS t FROM customer
+  UNION ALL SELECT 'customer/' || o_custkey, 'order/' || o_orderkey, epoch_us(o_orderdate) // 1000, CASE o_orderstatus WHEN 'F' THEN epoch_us(o_orderdate) // 1000 + 7776000000 ELSE {T_MAX} END FROM orders),
+w AS (SELECT src, dst, 0.5 * exp(-1e-9 * (greatest({T_STAR} - f, 0) / 1000)) AS w FROM e WHERE f <= {T_STAR} AND {T_STAR} < t),
+m AS (SELECT *, sum(w) OVER (PARTITION BY src) AS mass FROM w),
+s AS (SELECT 'nation/' || n_nationkey AS node, 1.0::DOUBLE AS act FROM nation WHERE n_regionkey = 1 AND 'nation/' || n_nationkey IN (SELECT src FROM e)),
+h1 AS (SELECT dst AS node, sum(d) AS act FROM (SELECT dst, act * 0.9 * mass / (1 + mass) * (w / mass) AS d FROM s JOIN m ON src = node) WHERE d > 1e-6 GROUP BY dst),
+h2 AS (SELECT dst AS node, sum(d) AS act FROM (SELECT dst, act * 0.9 * mass / (1 + mass) * (w / mass) AS d FROM h1 JOIN m ON src = node) WHERE d > 1e-6 GROUP BY dst)
+SELECT node, round(sum(act), 6) AS act FROM (FROM s UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY node""",
+    "semantic_seed_spread": _with("vq AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)",
+      "vx AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS sc FROM embeddings, vq)",
+      "vt AS (SELECT vec_id FROM vx ORDER BY sc DESC, vec_id LIMIT 4)",
+      *_spread(1, f"SELECT DISTINCT 'v' AS query, node FROM (SELECT name AS node FROM nodes WHERE node_id IN (SELECT vec_id FROM vt) UNION ALL SELECT '{HUB}')"))
+    + "SELECT node, round(act, 6) AS act FROM a1",
+    "order_dependent_hops": _with(*_spread(2),
+      "k1 AS (SELECT DISTINCT query, dst AS node FROM s JOIN e ON e.src = s.node)", "d0 AS (SELECT DISTINCT query, node FROM s)",
+      "n1 AS (SELECT * FROM k1 WHERE (query, node) NOT IN (SELECT (query, node) FROM d0))", "k2 AS (SELECT DISTINCT query, dst AS node FROM n1 JOIN e ON e.src = n1.node)")
+    + "SELECT DISTINCT query, 1 AS hop FROM k1 WHERE (query, node) IN (SELECT (query, node) FROM d0) UNION ALL SELECT DISTINCT query, 2 FROM k2 WHERE (query, node) IN (SELECT (query, node) FROM n1)",
+    "trace_retention": "SELECT DISTINCT trace_id, edges_fired FROM traces WHERE trace_id IS NOT NULL ORDER BY trace_id DESC LIMIT 256",
     "idempotent_dedup": "WITH RECURSIVE " + ",\n".join([_EV,
       "o AS (SELECT user_id, event_type, t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t) AS k FROM ev)",
       """f AS (SELECT user_id, event_type, k, t AS s, 1 AS n FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_type, o.k, CASE WHEN o.t - f.s >= 86400000 THEN o.t ELSE f.s END,

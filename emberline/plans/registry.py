@@ -11,4 +11,4 @@ SQL = {**problems.SQL, **graph_sql.SQL, **source_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_queries.spread_activation(spark, sf_dir)
+    return graph_queries.spread_two_hop(spark, sf_dir)
