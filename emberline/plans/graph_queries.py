@@ -195,6 +195,15 @@ def semantic_seed_spread(spark, sf_dir):
     return out.activation.select("node", F.round("act", 6).alias("act"))
 
 
+def spread_batch(spark, sf_dir):
+    """A retrieval from every node alive, all in one plan: how many nodes each activates and with what mass."""
+    names = names_at(spark, sf_dir, T2)
+    seeds = names.select(F.col("name").alias("query"), F.col("name").alias("node"))
+    edges = spread.weighted_edges(graph(spark, sf_dir), T2, CONFIG)
+    out = spread.spread(edges, names, seeds, CONFIG, depth=2)
+    return out.incoming.groupBy("query").agg(F.count("*").alias("n_reached"), F.round(F.sum("incoming"), 6).alias("mass"))
+
+
 def order_dependent_hops(spark, sf_dir):
     """Hops in which processing nodes one after the other could give another result."""
     seeds = spark.createDataFrame(SEEDS, "query string, node string")
@@ -418,5 +427,5 @@ effective_weight trust_mask spread_activation spread_three_hop_topk spread_trace
 conflicts_functional sleep feedback_graded feedback_episodic_uniform feedback_episodic_activation feedback_miss_penalty feedback_report match_tokens_prefix
 match_substring name_token_counts match_vector_topk reconcile_stale_nodes reconcile_stale_edges purge_by_origin checkpoint_open_state byte_estimate
 export_top_salient export_concentration export_paths_1_3 node_versions_scd2 edge_intervals_islands touch_linear touch_ordered_fold homeostat_series
-ratcheted_clock request_histogram idempotent_dedup spread_two_hop semantic_seed_spread order_dependent_hops parity_spread_kernel trace_retention""".split()
+ratcheted_clock request_histogram idempotent_dedup spread_two_hop spread_batch semantic_seed_spread order_dependent_hops parity_spread_kernel trace_retention""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

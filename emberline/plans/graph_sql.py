@@ -224,6 +224,7 @@ SELECT node, round(sum(act), 6) AS act FROM (FROM s UNION ALL FROM h1 UNION ALL
       "vt AS (SELECT vec_id FROM vx ORDER BY sc DESC, vec_id LIMIT 4)",
       *_spread(1, f"SELECT DISTINCT 'v' AS query, node FROM (SELECT name AS node FROM nodes WHERE node_id IN (SELECT vec_id FROM vt) UNION ALL SELECT '{HUB}')"))
     + "SELECT node, round(act, 6) AS act FROM a1",
+    "spread_batch": _with(*_spread(2, "SELECT name AS query, name AS node FROM names")) + "SELECT query, count(*) AS n_reached, round(sum(incoming), 6) AS mass FROM inc GROUP BY query",
     "order_dependent_hops": _with(*_spread(2),
       "k1 AS (SELECT DISTINCT query, dst AS node FROM s JOIN e ON e.src = s.node)", "d0 AS (SELECT DISTINCT query, node FROM s)",
       "n1 AS (SELECT * FROM k1 WHERE (query, node) NOT IN (SELECT (query, node) FROM d0))", "k2 AS (SELECT DISTINCT query, dst AS node FROM n1 JOIN e ON e.src = n1.node)")
