@@ -17,6 +17,12 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("grp").alias("db"), "node_a", "node_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 
+def p2_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair that surfaces together, once or more; p2_pairs has only those in MIN_TRACES traces."""
+    pairs = cooccur.cooccurrence(load(spark, sf_dir, "traces"), "db", "trace_id", "surfaced", "node", min_count=1)
+    return pairs.select(F.col("grp").alias("db"), "node_a", "node_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cooccur.cooccurrence(load(spark, sf_dir, "traces"), "db", "trace_id", "surfaced", "node", min_count=MIN_TRACES)
     lifted = pairs.where(F.col("n_ab") * F.col("n") >= MIN_LIFT * F.col("n_a") * F.col("n_b"))
@@ -63,7 +69,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents")).where("NOT is_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_all_pairs, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_quality)}
 
 _PAIRS = """
 WITH m AS (SELECT DISTINCT db, trace_id, unnest(surfaced).node AS node FROM traces WHERE db IS NOT NULL AND trace_id IS NOT NULL),
@@ -76,7 +82,10 @@ o AS (SELECT p.db, node_a, node_b, n_ab, x.c AS n_a, y.c AS n_b, n FROM p JOIN n
   JOIN c x ON x.db = p.db AND x.node = node_a JOIN c y ON y.db = p.db AND y.node = node_b)
 """
 
+_ALL_PAIRS = _PAIRS.replace("HAVING count(*) >= 5", "")
+
 SQL = {
+    "p2_all_pairs": _ALL_PAIRS + "SELECT db, node_a, node_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift FROM o",
     "p2_pairs": _PAIRS + "SELECT db, node_a, node_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a::DOUBLE * n_b), 6) AS lift FROM o",
     "p2_found": _PAIRS + "SELECT db, node_a, node_b FROM o WHERE n_ab * n >= 3 * n_a * n_b",
 }
