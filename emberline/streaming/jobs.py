@@ -5,28 +5,46 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import exp
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.config import Config
-from emberline.sources.wal import parse_lines
+from emberline.sources.wal import _OP, parse_lines
 
-_OP = "op string, name string, asset_type string, inferred_type string, src string, dst string, kind string, ts long, origin string"
+
+def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, file, block, line): lines counted from 0 in their block, which one task reads from its start, in order."""
+    seen: dict[tuple, int] = {}
+    for batch in batches:
+        at = pd.DataFrame({c: batch.column(c).to_pandas() for c in ("file", "block")})
+        line = at.groupby(["file", "block"], sort=False).cumcount().to_numpy(dtype=np.int64, copy=True)
+        for key, rows in at.groupby(["file", "block"], sort=False).indices.items():
+            line[rows] += seen.get(key, 0)
+            seen[key] = seen.get(key, 0) + len(rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(line)], [*batch.schema.names, "line"])
 
 
 def tail_log(spark: SparkSession, path: str, per_trigger: int = 64) -> DataFrame:
     """Operations of log segments as they arrive in ``path``: framed or bare lines, bad ones with status 'bad'.
 
     Each segment is a file that does not change once it is there; the checkpoint
-    keeps the offsets, so a restart goes on where it stopped.
+    keeps the offsets, so a restart goes on where it stopped. ``ord`` (file, block,
+    line) is the order of the log, as :func:`wal.read_wal` reads it, whatever the
+    order of arrival. What a bad line says is not to be folded.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path)
-    parsed = parse_lines(lines.withColumn("line", F.lit(0).cast("long"))).where("status IN ('framed', 'legacy', 'bad')")
-    return parsed.select("status", F.from_json("json", _OP).alias("o")).select(
-        "status", "o.op", "o.name", F.coalesce("o.asset_type", "o.inferred_type").alias("type"), "o.src", "o.dst", "o.kind", "o.ts", "o.origin"
-    )
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.mapInArrow(_count_lines, "value string, file string, block long, line long")
+    parsed = parse_lines(lines.withColumn("line", F.struct("file", "block", "line"))).where("status IN ('framed', 'legacy', 'bad')")
+    return parsed.select("line", "status", F.from_json("json", _OP).alias("o")).select(
+        F.col("line").alias("ord"), "status", "o.op", "o.name", F.coalesce("o.asset_type", "o.inferred_type").alias("type"),
+        F.when(F.col("o.op") == "observe_node", F.coalesce(F.to_json("o.props"), F.lit("null"))).alias("props"),
+        "o.src", "o.dst", "o.kind", "o.ts", "o.origin",
+    )
 
 
 def append_batches(stream: DataFrame, table: str, checkpoint: str):
