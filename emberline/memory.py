@@ -93,10 +93,20 @@ class Memory:
         ops = self._numbered(oplog.entity_ops(entities.withColumn("rec", rec.cast("long")), F.lit(ts).cast("long"), ["rec"], origin), batch)
         self._append(ops)
         if reconcile:
-            now = self.ops()
-            mark = F.struct(F.lit(batch + 1).cast("long").alias("batch"), F.lit(0).cast("long").alias("rec"), F.lit(0).alias("pos")).cast(_ORD)
-            mine = now.where(F.col("ord.batch") == batch)
-            self._append(oplog.reconcile_ops(now, mine, mine.where("op = 'observe_node'").select("name"), ts, mark).select(*now.columns))
+            self._reconcile(batch, self.ops().where(F.col("ord.batch") == batch), ts)
+
+    def ingest_assets(self, assets: DataFrame, ts: int) -> None:
+        """Observe a whole snapshot of cloud assets (name, assetType, ancestors, resource[, rec]); what it asserts no more is
+        retired. An asset asserts itself and its containers, not what it refers to."""
+        batch = self._next_batch()
+        rec = F.col("rec") if "rec" in assets.columns else F.xxhash64("name", "assetType", "ancestors", "resource.data")
+        self._append(self._numbered(oplog.asset_ops(assets.withColumn("rec", rec.cast("long")), F.lit(ts).cast("long"), ["rec"]), batch))
+        self._reconcile(batch, oplog.asserting(self.ops().where(F.col("ord.batch") == batch)), ts)
+
+    def _reconcile(self, batch: int, mine: DataFrame, ts: int) -> None:
+        now = self.ops()
+        mark = F.struct(F.lit(batch + 1).cast("long").alias("batch"), F.lit(0).cast("long").alias("rec"), F.lit(0).alias("pos")).cast(_ORD)
+        self._append(oplog.reconcile_ops(now, mine, mine.where("op = 'observe_node'").select("name"), ts, mark).select(*now.columns))
 
     def retire(self, name: str, ts: int) -> None:
         row = self.spark.createDataFrame([("retire_node", name, ts)], "op string, name string, ts long")

@@ -38,6 +38,12 @@ def asset_containment_ops(spark, sf_dir):
     return ops.select("ord.asset_id", "ord.received_at", F.col("ord.pos").cast("long").alias("pos"), "op", "name", "type", "src", "dst", "kind")
 
 
+def asset_ops(spark, sf_dir):
+    assets = load(spark, sf_dir, "cai_assets").withColumnRenamed("asset_type", "assetType")
+    ops = oplog.asset_ops(assets, F.lit(T2), ["received_at", "asset_id"]).distinct()
+    return ops.select("ord.asset_id", "ord.received_at", F.col("ord.pos").cast("long").alias("pos"), "op", "name", "type", "src", "dst", "kind")
+
+
 def inferred_types(spark, sf_dir):
     names = versions(spark, sf_dir).select("name").distinct()
     return names.select("name", infer_type("name").alias("inferred"))
@@ -59,7 +65,7 @@ def export_edges(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (entity_ops, node_table, versions_from_ops, edges_from_ops, asset_containment_ops, inferred_types, session_extractor, export_nodes, export_edges)
+    for f in (entity_ops, node_table, versions_from_ops, edges_from_ops, asset_containment_ops, asset_ops, inferred_types, session_extractor, export_nodes, export_edges)
 }
 
 _OPS = """
@@ -104,3 +110,15 @@ UNION ALL SELECT DISTINCT 'term/' || a.w, 'term/' || b.w, 'CO_OCCURS' FROM s a J
   WHERE dst IS NOT NULL AND exported_at = (SELECT max(exported_at) FROM edges WHERE dst IS NOT NULL) GROUP BY src, dst, kind, valid_from)
 SELECT src, dst, kind, round(coalesce(v.w, {CONFIG.w0}), 6) AS weight, valid_from <= {T2} AND {T2} < coalesce(v.t, {T_MAX}) AS open, valid_from, nullif(v.t, {T_MAX}) AS valid_to, v.o AS origin FROM g""",
 }
+
+SQL["asset_ops"] = SQL["asset_containment_ops"] + r"""
+UNION ALL
+(WITH a AS (SELECT DISTINCT asset_id, received_at, name, resource.data AS data FROM cai_assets WHERE name IS NOT NULL AND asset_type IS NOT NULL),
+j AS (SELECT * FROM a WHERE CASE WHEN json_valid(data) THEN true ELSE false END),
+t AS (SELECT asset_id, received_at, name, x.id AS k, x.atom ->> '$' AS s FROM j, json_tree(CASE WHEN json_valid(j.data) THEN j.data ELSE 'null' END) x WHERE x.type = 'VARCHAR'),
+f AS (SELECT *, CASE WHEN starts_with(s, '//') AND contains(s, '.googleapis.com/') THEN s
+  WHEN regexp_matches(s, '^https://(www|compute)\.googleapis\.com/compute/v1/') THEN regexp_replace(s, '^https://(www|compute)\.googleapis\.com/compute/v1/', '//compute.googleapis.com/') END AS r FROM t),
+g AS (SELECT asset_id, received_at, name, r, row_number() OVER (PARTITION BY asset_id, received_at, name ORDER BY min(k)) - 1 AS i, string_split(regexp_replace(r, '^/+', ''), '/') AS p
+  FROM f WHERE r IS NOT NULL AND r <> name GROUP BY asset_id, received_at, name, r)
+SELECT asset_id, received_at, 1000000 + 2 * i AS pos, 'observe_placeholder' AS op, r AS name, p[1] || '/' || CASE WHEN len(p) >= 3 THEN p[len(p) - 1] ELSE 'unknown' END AS type, NULL AS src, NULL AS dst, NULL AS kind FROM g
+UNION ALL SELECT asset_id, received_at, 1000001 + 2 * i, 'observe_edge', NULL, NULL, name, r, 'REFERENCES' FROM g)"""

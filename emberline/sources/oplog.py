@@ -6,10 +6,15 @@ An operation has (op, name, type, props, src, dst, kind, ts, origin) and an
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.common import T_MAX
+from emberline.functions.jsonindex import STRING, JsonIndex
 from emberline.functions.weights import infer_type
 from emberline.operators import temporal
 
@@ -74,28 +79,92 @@ def containment_ops(assets: DataFrame, ts: str | Column, order: list[str]) -> Da
     return flat.select(F.struct(*order, "pos").alias("ord"), "_o.*", "ts", F.lit(None).cast("string").alias("origin"))
 
 
+# fixed values: the forms in which records refer to resources
+_LINK = re.compile(r"(//)(?=(?s:.*)\.googleapis\.com/)|https://(?:www|compute)\.googleapis\.com/compute/v1/")
+#: Bytes of text that are indexed at once.
+_INDEX_BYTES = 1 << 20
+#: Place of an asset's first reference among its operations, after those of its chain.
+_REFERENCES = 1_000_000
+
+
+def _overwritten(j: JsonIndex, node: int, last: dict[int, dict[str, int]], members: dict[int, list[int]]) -> bool:
+    """Whether the node lies under a key that its object has once more, further on."""
+    while j.parent[node] >= 0:
+        holder = int(j.parent[node])
+        if j.key[node] >= 0:
+            if holder not in last:
+                last[holder] = {j.text(j.key[i]): i for i in members[holder]}
+            if last[holder][j.text(j.key[node])] != node:
+                return True
+        node = holder
+    return False
+
+
+def links(texts: list[bytes | None]) -> list[list[str]]:
+    """The resource names in the string values of each JSON text; see :func:`reference_names`."""
+    out: list[dict[str, None]] = [{} for _ in texts]
+    j = JsonIndex(texts)
+    strings = j.of_kind(np.flatnonzero(j.is_value), STRING)
+    first = np.frombuffer(j.buf, np.uint8)[j.frm[strings] + 1]
+    found = [(int(i), m, s) for i in strings[np.isin(first, list(b"/h\\"))] if (m := _LINK.match(s := j.text(i)))]
+    if not found:
+        return [[] for _ in texts]
+    held: dict[int, list[int]] = {}
+    rows = np.zeros(j.n, bool)
+    rows[[j.row[i] for i, _, _ in found]] = True
+    for i in np.flatnonzero(j.is_value & (j.key >= 0) & rows[j.row]):
+        held.setdefault(int(j.parent[i]), []).append(int(i))
+    last: dict[int, dict[str, int]] = {}
+    for i, m, s in found:
+        if not _overwritten(j, i, last, held):
+            out[j.row[i]][s if m[1] else "//compute.googleapis.com/" + s[m.end() :]] = None
+    return [list(names) for names in out]
+
+
+def _links(texts: pd.Series) -> pd.Series:
+    raw = [None if t is None else t.encode() for t in texts]
+    out: list[list[str]] = []
+    begin = held = 0
+    for i, text in enumerate(raw):
+        held += len(text or b"")
+        if held >= _INDEX_BYTES or i + 1 == len(raw):
+            out += links(raw[begin : i + 1])
+            begin, held = i + 1, 0
+    return pd.Series(out, dtype=object)
+
+
 def reference_names(text: str = "data") -> Column:
     """Full resource names in the string values of a JSON text, in order, without repeats.
 
     A name is what begins with // and holds a service of the cloud, or is one of two link forms of the compute service.
+    However a string is written, its content counts; of a key written twice in an object the last counts. Text that is
+    no valid JSON has none.
     """
-    # fixed values: the forms in which records refer to resources
-    strings = F.regexp_extract_all(F.col(text), F.lit(r'"(//[^"\\]*\.googleapis\.com/[^"\\]*|https://(?:www|compute)\.googleapis\.com/compute/v1/[^"\\]*)"(?!\s*:)'), F.lit(1))
-    full = F.transform(strings, lambda s: F.regexp_replace(s, r"^https://(www|compute)\.googleapis\.com/compute/v1/", "//compute.googleapis.com/"))
-    return F.array_distinct(full)
+    return F.pandas_udf(_links, "array<string>")(F.col(text))
 
 
 def reference_ops(assets: DataFrame, ts: str | Column, order: list[str]) -> DataFrame:
     """A placeholder and an edge for each resource an asset's data refers to, itself left out."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    rows = assets.where("name IS NOT NULL").withColumn("data", F.col("resource.data"))
-    flat = rows.select(*order, "name", ts.alias("ts"), F.posexplode(F.filter(reference_names(), lambda r: r != F.col("name"))).alias("_i", "_r"))
+    rows = assets.where("name IS NOT NULL").withColumn("data", F.col("resource.data")).select(*order, "name", ts.alias("ts"), reference_names().alias("_refs"))
+    flat = rows.select(*order, "name", "ts", F.posexplode(F.filter("_refs", lambda r: r != F.col("name"))).alias("_i", "_r"))
     pair = F.array(_op("observe_placeholder", name=F.col("_r"), type=infer_type("_r")), _op("observe_edge", src=F.col("name"), dst=F.col("_r"), kind=F.lit("REFERENCES")))
     flat = flat.select(*order, "ts", "_i", F.posexplode(pair).alias("_j", "_o"))
-    pos = (F.lit(1_000_000) + F.col("_i") * 2 + F.col("_j")).alias("pos")
+    pos = (F.lit(_REFERENCES) + F.col("_i") * 2 + F.col("_j")).alias("pos")
     return flat.select(F.struct(*order, pos).alias("ord"), "_o.*", "ts", F.lit(None).cast("string").alias("origin"))
 
 
+def asset_ops(assets: DataFrame, ts: str | Column, order: list[str]) -> DataFrame:
+    """All that assets say: themselves and their chains of containers, then what their data refer to."""
+    whole = assets.where("name IS NOT NULL AND assetType IS NOT NULL")
+    return containment_ops(whole, ts, order).unionByName(reference_ops(whole, ts, order))
+
+
+def asserting(batch: DataFrame) -> DataFrame:
+    """A batch of :func:`asset_ops` without the targets of references: these are named, but not said to be there."""
+    return batch.where((F.col("op") != "observe_placeholder") | (F.col("ord.pos") < _REFERENCES))
+
+
 def parse_records(spark: SparkSession, path: str, schema: str = ENTITY) -> DataFrame:
     """Records of a JSON array or of JSON lines; blank lines are skipped, any bad record fails the whole read.
 
