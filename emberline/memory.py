@@ -13,9 +13,12 @@ from emberline.functions.weights import alive, decay_rate, effective
 from emberline.operators import learn, maintain, match, spread, temporal, traverse
 from emberline.sources import oplog
 from emberline.sources.sidecar import load_version, save_version
+from emberline.sources.stores import KEPT, keep_latest
 
 _NAME = re.compile(r"[a-z0-9_-]{1,64}")
 _ORD = "struct<batch:bigint,rec:bigint,pos:int>"
+_FIRED = "hop int, src string, dst string, kind string, valid_from long, delta double"
+_TRACE = f"trace_id long, t long, depth int, surfaced array<struct<node string, act double>>, fired array<struct<{_FIRED}>>"
 _STATE = "src string, dst string, kind string, valid_from long, weight double, t_last long, dead boolean"
 
 
@@ -158,7 +161,36 @@ class Memory:
     def feedback(self, seeds: list[str], t: int, used: list[str] | None = None, reward: float | None = None, scores: dict[str, float] | None = None, top_k: int = 10, by_activation: bool = False) -> DataFrame:
         """Credit what a retrieval surfaced: graded scores go before a reward, a reward before used names. Gives the report."""
         result = self.spread(self.spark.createDataFrame([("q", s) for s in seeds], "query string, node string"), t)
-        surfaced = result.top(top_k).select("query", "node", "act")
+        return self._learn(result, result.top(top_k).select("query", "node", "act"), self.config.depth, t, used, reward, scores, by_activation)
+
+    def traces(self) -> DataFrame:
+        traces = load_version(self.spark, self.root, "traces")
+        return self.spark.createDataFrame([], _TRACE) if traces is None else traces
+
+    def retrieve_traced(self, seeds: list[str], t: int, top_k: int = 10, depth: int | None = None) -> tuple[int, DataFrame]:
+        """A retrieval whose trace is kept for later feedback: its id and what surfaced. The latest ``KEPT`` traces stay."""
+        depth = self.config.depth if depth is None else depth
+        result = self.spread(self.spark.createDataFrame([("q", s) for s in seeds], "query string, node string"), t, depth)
+        held = self.traces()
+        trace_id = (held.agg(F.max("trace_id")).first()[0] or 0) + 1
+        surfaced = result.top(top_k).agg(F.sort_array(F.collect_list(F.struct("rank", "node", "act"))).alias("s")).select(F.expr("transform(s, x -> struct(x.node, x.act))").alias("surfaced"))
+        fired = result.fired.agg(F.collect_list(F.struct("hop", *spread.EDGE, "delta")).alias("fired"))
+        trace = surfaced.crossJoin(fired).select(F.lit(trace_id).cast("long").alias("trace_id"), F.lit(t).cast("long").alias("t"), F.lit(depth).alias("depth"), "surfaced", "fired")  # one row each
+        save_version(keep_latest(held.unionByName(trace.to(held.schema)), "trace_id", KEPT), self.root, "traces")
+        return trace_id, self.traces().where(F.col("trace_id") == trace_id).select(F.inline("surfaced"))
+
+    def feedback_trace(self, trace_id: int, t: int, used: list[str] | None = None, reward: float | None = None, scores: dict[str, float] | None = None, by_activation: bool = True) -> DataFrame:
+        """Credit what a kept retrieval surfaced, along the edges it fired then, whatever they weigh now."""
+        trace = self.traces().where(F.col("trace_id") == trace_id)
+        found = trace.select("depth").first()
+        if found is None:
+            raise KeyError(f"trace {trace_id} is unknown: no longer kept or never given")
+        fired = trace.select(F.lit("q").alias("query"), F.inline("fired"))
+        surfaced = trace.select(F.lit("q").alias("query"), F.inline("surfaced"))
+        incoming = fired.groupBy("query", F.col("dst").alias("node")).agg(F.sum("delta").alias("incoming"))
+        return self._learn(spread.Spread(surfaced, fired, incoming), surfaced, found[0], t, used, reward, scores, by_activation)
+
+    def _learn(self, result: spread.Spread, surfaced: DataFrame, depth: int, t: int, used: list[str] | None, reward: float | None, scores: dict[str, float] | None, by_activation: bool) -> DataFrame:
         if scores is None and reward is not None:
             credit = (learn.credit_by_activation if by_activation else learn.credit_uniform)(surfaced, reward)
         else:
@@ -166,7 +198,7 @@ class Memory:
             rows = self.spark.createDataFrame([("q", n, float(s)) for n, s in graded.items()], "query string, node string, score double")
             credit = learn.credit_nodes(rows, self.versions())
         credit = learn.miss_penalty(credit, surfaced, self.config.feedback_miss_penalty)
-        r, cred = learn.assign_credit(result, credit, self.config.depth, self.config)
+        r, cred = learn.assign_credit(result, credit, depth, self.config)
         report = learn.feedback_report(r, cred)
         row = report.collect()
         self._touch(r, t)
@@ -196,11 +228,15 @@ class Memory:
         self._keep(after)
         return self.spark.createDataFrame(report)
 
-    def sleep(self, t: int) -> float | None:
-        """Scale all weights down and prune; gives the protection threshold."""
-        state, threshold = maintain.sleep(self.edges(), t, self.config, self.lambda_scale)
+    def sleep(self, t: int) -> DataFrame:
+        """Scale all weights down and prune; gives the report, with the protection threshold."""
+        edges = self.edges()
+        state, threshold = maintain.sleep(edges, t, self.config, self.lambda_scale)
+        before = maintain.materialised(maintain.with_state(edges, self.config), t, self.config, self.lambda_scale)
+        report = maintain.sleep_report(before, state).withColumn("threshold", F.lit(threshold).cast("double"))
+        row = report.collect()
         self._keep(state)
-        return threshold
+        return self.spark.createDataFrame(row, report.schema)
 
     def stats(self) -> DataFrame:
         return maintain.stats(self.edges())

@@ -95,6 +95,22 @@ def sleep(edges: DataFrame, t: int, config: Config, scale: float = 1.0) -> tuple
     return renormalised(state, config.norm_target), threshold
 
 
+def sleep_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(downscaled, pruned, protected, renormalized_sources, live_after, mean_weight_before, mean_weight_after) of a sleep:
+    ``before`` with decay made real (:func:`materialised`), ``after`` as :func:`sleep` gives it."""
+    live = lambda of: F.when(~F.col("dead"), of)
+    mean = F.coalesce(F.avg(live(F.col("weight"))), F.lit(0.0))
+    was = before.agg(F.count(live(F.lit(1))).alias("downscaled"), mean.alias("mean_weight_before"))
+    now = after.agg(
+        F.count_if("protected").alias("protected"),
+        F.countDistinct(live(F.when(F.col("weight") > 0, F.col("src")))).alias("renormalized_sources"),
+        F.count(live(F.lit(1))).alias("live_after"),
+        mean.alias("mean_weight_after"),
+    )
+    both = now.crossJoin(F.broadcast(was))  # one row each
+    return both.select("downscaled", (F.col("downscaled") - F.col("live_after")).alias("pruned"), "protected", "renormalized_sources", "live_after", "mean_weight_before", "mean_weight_after")
+
+
 def stats(state: DataFrame) -> DataFrame:
     """(edges_total, edges_live, edges_dead, nodes, weight_min, weight_max, weight_mean) over stored weights, in one pass."""
     live = F.when(~F.col("dead"), F.col("weight"))

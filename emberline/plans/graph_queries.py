@@ -159,6 +159,13 @@ def sleep(spark, sf_dir):
     return state.select(*KEY, F.round("weight", 6).alias("weight"), "dead", "protected")
 
 
+def sleep_report(spark, sf_dir):
+    edges = graph(spark, sf_dir)
+    state, _ = maintain.sleep(edges, T2, CONFIG)
+    r = maintain.sleep_report(maintain.materialised(maintain.with_state(edges, CONFIG), T2, CONFIG), state)
+    return r.select(*r.columns[:5], *[F.round(c, 6).alias(c) for c in r.columns[5:]])
+
+
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations hold customers, customers placed orders: a graph out of the star schema."""
     customer = load(spark, sf_dir, "customer")
@@ -424,7 +431,7 @@ def idempotent_dedup(spark, sf_dir):
 
 _NAMES = """asof_nodes asof_edges diff_nodes diff_edges open_edge_lookup blast_radius_down blast_radius_up blast_radius_both neighborhood_edges graph_dump
 effective_weight trust_mask spread_activation spread_three_hop_topk spread_trace_fired spread_mass trace_explain salience_stats consolidate consolidate_counts
-conflicts_functional sleep feedback_graded feedback_episodic_uniform feedback_episodic_activation feedback_miss_penalty feedback_report match_tokens_prefix
+conflicts_functional sleep sleep_report feedback_graded feedback_episodic_uniform feedback_episodic_activation feedback_miss_penalty feedback_report match_tokens_prefix
 match_substring name_token_counts match_vector_topk reconcile_stale_nodes reconcile_stale_edges purge_by_origin checkpoint_open_state byte_estimate
 export_top_salient export_concentration export_paths_1_3 node_versions_scd2 edge_intervals_islands touch_linear touch_ordered_fold homeostat_series
 ratcheted_clock request_histogram idempotent_dedup spread_two_hop spread_batch semantic_seed_spread order_dependent_hops parity_spread_kernel trace_retention""".split()

@@ -150,6 +150,9 @@ SQL = {
     "conflicts_functional": _with(*_CONS) + f"SELECT src, kind, count(*) - 1 AS n_superseded FROM state WHERE valid_to = {T_MAX} AND kind IN ('RUNS_ON', 'PLACED_IN') GROUP BY src, kind HAVING count(*) >= 2",
     "sleep": _with(*_SLEEP) + f"""SELECT src, dst, kind, valid_from, round(CASE WHEN dead THEN 0 ELSE low * ({C.norm_target} / sum(CASE WHEN NOT dead THEN low END) OVER (PARTITION BY src)) END, 6) AS weight,
   dead, protected FROM d""",
+    "sleep_report": _with(*_SLEEP) + f"""SELECT count(*) AS downscaled, count(*) FILTER (dead) AS pruned, count(*) FILTER (protected) AS protected, count(DISTINCT src) FILTER (NOT dead AND low > 0) AS renormalized_sources,
+  count(*) FILTER (NOT dead) AS live_after, round(coalesce(avg(w), 0), 6) AS mean_weight_before, round(coalesce(avg(after) FILTER (NOT dead), 0), 6) AS mean_weight_after
+FROM (SELECT *, low * ({C.norm_target} / sum(CASE WHEN NOT dead THEN low END) OVER (PARTITION BY src)) AS after FROM d)""",
     "feedback_graded": _with(*_credit(_GRADED)) + _R_ROWS,
     "feedback_episodic_uniform": _with(*_credit("SELECT query, node, 1.0 / count(*) OVER (PARTITION BY query) AS cred FROM surf")) + _R_ROWS,
     "feedback_episodic_activation": _with(*_credit("SELECT query, node, act / sum(act) OVER (PARTITION BY query) AS cred FROM surf")) + _R_ROWS,
