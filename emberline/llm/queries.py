@@ -10,6 +10,8 @@ from emberline.llm import cooccur, mixing, packing, quality, tokens
 
 #: A pair counts from so many traces, at so many times what chance gives.
 MIN_TRACES, MIN_LIFT = 5, 3
+#: Most capacities that are read; more are refused.
+MOST_SIZES = 1000
 
 
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +32,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
-    return [tuple(r) for r in load(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens").limit(1000).collect()]
+    rows = load(spark, sf_dir, "pack_sizes").select("pack_id", "capacity_tokens").limit(MOST_SIZES + 1).collect()
+    if len(rows) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} capacities")
+    return [tuple(r) for r in rows]
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

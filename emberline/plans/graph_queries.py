@@ -232,6 +232,12 @@ def trace_retention(spark, sf_dir):
     return stores.keep_latest(traces, "trace_id", 256)
 
 
+def trace_retention_kept(spark, sf_dir):
+    """The traces that a store of the default size keeps."""
+    traces = load(spark, sf_dir, "traces").select("trace_id", "edges_fired").distinct()
+    return stores.keep_latest(traces, "trace_id")
+
+
 # -- feedback ----------------------------------------------------------------------
 
 
@@ -434,5 +440,5 @@ effective_weight trust_mask spread_activation spread_three_hop_topk spread_trace
 conflicts_functional sleep sleep_report feedback_graded feedback_episodic_uniform feedback_episodic_activation feedback_miss_penalty feedback_report match_tokens_prefix
 match_substring name_token_counts match_vector_topk reconcile_stale_nodes reconcile_stale_edges purge_by_origin checkpoint_open_state byte_estimate
 export_top_salient export_concentration export_paths_1_3 node_versions_scd2 edge_intervals_islands touch_linear touch_ordered_fold homeostat_series
-ratcheted_clock request_histogram idempotent_dedup spread_two_hop spread_batch semantic_seed_spread order_dependent_hops parity_spread_kernel trace_retention""".split()
+ratcheted_clock request_histogram idempotent_dedup spread_two_hop spread_batch semantic_seed_spread order_dependent_hops parity_spread_kernel trace_retention trace_retention_kept""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -233,6 +233,7 @@ SELECT node, round(sum(act), 6) AS act FROM (FROM s UNION ALL FROM h1 UNION ALL
       "n1 AS (SELECT * FROM k1 WHERE (query, node) NOT IN (SELECT (query, node) FROM d0))", "k2 AS (SELECT DISTINCT query, dst AS node FROM n1 JOIN e ON e.src = n1.node)")
     + "SELECT DISTINCT query, 1 AS hop FROM k1 WHERE (query, node) IN (SELECT (query, node) FROM d0) UNION ALL SELECT DISTINCT query, 2 FROM k2 WHERE (query, node) IN (SELECT (query, node) FROM n1)",
     "trace_retention": "SELECT DISTINCT trace_id, edges_fired FROM traces WHERE trace_id IS NOT NULL ORDER BY trace_id DESC LIMIT 256",
+    "trace_retention_kept": "SELECT DISTINCT trace_id, edges_fired FROM traces WHERE trace_id IS NOT NULL ORDER BY trace_id DESC LIMIT 4096",
     "idempotent_dedup": "WITH RECURSIVE " + ",\n".join([_EV,
       "o AS (SELECT user_id, event_type, t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t) AS k FROM ev)",
       """f AS (SELECT user_id, event_type, k, t AS s, 1 AS n FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_type, o.k, CASE WHEN o.t - f.s >= 86400000 THEN o.t ELSE f.s END,
