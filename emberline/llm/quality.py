@@ -4,160 +4,130 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.common import spread_rows
-from emberline.llm.textstats import CLOSERS, COMMON, COUNTS, WORD_HEAD, count, ends_sentence, is_item, is_prose
+from emberline.llm.textstats import COUNTS, JUDGED, PLAIN, STRETCH, UNSPACED_WORD, count_texts, judge, prose_rule, sentence_words
 
-#: Characters of a piece; a longer text is counted piece by piece.
-CHUNK_CHARS = 1 << 16
-#: Texts longer than this have their pieces spread over the tasks.
-SPREAD_CHARS = 1 << 20
-#: Characters of a word that a piece cuts off which are kept to put it together again.
-EDGE_CHARS = 64
+#: Characters of a piece; a longer text is counted piece by piece. No result depends on it.
+CHUNK_CHARS = 1 << 13
+#: Counts that a text's pieces do not add up to.
+DISTINCT = ("n_distinct_shingles", "n_distinct_runs")
 
-_COUNT_FIELDS = [pa.field(c, pa.float64()) for c in COUNTS]
+_DOUBLES = pa.list_(pa.float64())
 _PIECE = pa.schema(
-    [pa.field("_id", pa.int64()), pa.field("_chunk", pa.int64()), *_COUNT_FIELDS]
-    + [pa.field("_head", pa.string()), pa.field("_tail", pa.string()), pa.field("_whole", pa.bool_())]
-    + [pa.field(f, pa.bool_()) for f in ("_line_open", "_line_first", "_breaks", "_ends", "_bullet", "_first_solid", "_last_solid")]
+    [("_id", pa.int64()), ("_row", pa.int64()), ("_chunk", pa.int64()), *[(c, pa.float64()) for c in COUNTS]]
+    + [("_head", _DOUBLES), ("_tail", _DOUBLES), ("_cut", pa.bool_()), ("_shingle", pa.int64())]
 )
-_PIECE_DDL = ", ".join(["_id long", "_chunk long", *[f"{c} double" for c in COUNTS], "_head string", "_tail string", *[f"{f} boolean" for f in ("_whole", "_line_open", "_line_first", "_breaks", "_ends", "_bullet", "_first_solid", "_last_solid")]])
-
-
-def _edges(text: str) -> tuple:
-    """What the cut at a piece's ends may have gone through: the word at its head and
-    at its tail, whether all is one word; whether its last and first line have text,
-    whether it breaks a line, whether its last line counted as ended and its first as an
-    item, whether its first and last line have more than what may close a sentence."""
-    head = WORD_HEAD.match(text)[0]
-    last = len(text)
-    while last and WORD_HEAD.fullmatch(text[last - 1]):
-        last -= 1
-    tail = text[last:]
-    whole = bool(text) and len(head) == len(text)
-    if not any(map(str.isalpha, head)):
-        head = ""
-    first, last_line = text.partition("\n")[0], text.rpartition("\n")[2]
-    return head[:EDGE_CHARS], tail[-EDGE_CHARS:], whole, bool(last_line.strip()), bool(first.strip()), "\n" in text, ends_sentence(last_line), is_item(first), bool(first.strip(CLOSERS)), bool(last_line.strip(CLOSERS))
-
-
-def _pieces(chunked: bool, size: int):
+_PIECE_DDL = ", ".join(["_id long", "_row long", "_chunk long", *[f"{c} double" for c in COUNTS], "_head array<double>", "_tail array<double>", "_cut boolean", "_shingle long"])
+
+
+def _vectors(values: np.ndarray, missing: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel()), mask=pa.array(missing))
+
+
+def _pieces(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, first, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                cuts = [(first, text)] if chunked else [(i // size, text[i : i + size]) for i in range(0, len(text) or 1, size)]
-                for k, piece in cuts:
-                    c = count(piece)
-                    rows.append((doc, k, *[float(c[x]) for x in COUNTS], *_edges(piece)))
-            columns = list(zip(*rows)) or [()] * len(_PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _PIECE)], schema=_PIECE)
+            ids, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for rows, chunks, counted, whole in count_texts(batch.column(2).cast(pa.binary()).to_pylist(), chunk):
+                values = np.hstack([counted.plain, counted.judged])
+                cut_up = ~whole
+                if cut_up.any():  # shingles of a text's pieces are told apart when the pieces meet
+                    for name in DISTINCT:
+                        values[cut_up, COUNTS.index(name)] = 0
+                known = [pa.array(ids[rows]), pa.array(places[rows]), pa.array(chunks)]
+                ends = [_vectors(counted.head, whole), _vectors(counted.tail, whole), pa.array(counted.cut, mask=whole)]
+                yield pa.RecordBatch.from_arrays([*known, *[pa.array(v) for v in values.T], *ends, pa.nulls(len(rows), pa.int64())], schema=_PIECE)
+                at = np.flatnonzero(cut_up[counted.shingle_piece])
+                if len(at):
+                    row = rows[counted.shingle_piece[at]]
+                    # a document that stands in several rows has each row's shingles
+                    mark = (counted.shingle[at] ^ (places[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C14))).view(np.int64)
+                    n = len(at)
+                    columns = [pa.array(ids[row]), pa.array(places[row]), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.float64())] * len(COUNTS)]
+                    columns += [pa.nulls(n, _DOUBLES), pa.nulls(n, _DOUBLES), pa.nulls(n, pa.bool_()), pa.array(mark)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_PIECE)
 
     return run
 
 
-def text_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
+def text_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row of counts per document: (doc_id, counts).
 
-    A text is cut into pieces of ``chunk_chars``; those of texts over
-    ``spread_chars`` go to different tasks. Pieces' counts are summed map-side and
-    then per document, which is a tree of sums. A word or line that a cut went
-    through was counted twice: the pieces' edges, in order, tell how often, and the
-    sums are put right. Sentences end at a cut.
+    A text is cut into pieces of ``chunk_chars``, and each piece is counted with as
+    many characters around it as its counts can depend on. The counts of pieces are
+    summed map-side, then per document, which is a tree of sums. A stretch of text
+    that a cut goes through is given as sums on both sides, which are added up in the
+    pieces' order before the stretch is judged; distinct shingles are counted over
+    all pieces. So every count is that of the whole text, wherever it is cut.
     """
-    docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.lit(0).cast("long").alias("_first"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    length = F.length("_text")
-    small = spread_rows(docs.where(length <= spread_chars), "_id").mapInArrow(_pieces(False, chunk_chars), _PIECE_DDL)
-    starts = F.sequence(F.lit(0), F.floor((length - 1) / chunk_chars).cast("int"))
-    cut = F.col("_text").substr(F.col("_k") * chunk_chars + 1, F.lit(chunk_chars))
-    large = (
-        docs.where(length > spread_chars).select("_id", F.explode(starts).alias("_k"), "_text")
-        .select("_id", F.col("_k").cast("long").alias("_chunk"), cut.alias("_text"))
-        .repartition("_id", "_chunk").mapInArrow(_pieces(True, chunk_chars), _PIECE_DDL)
-    )
-    return merge_pieces(small.unionByName(large)).withColumnRenamed("_id", doc_id)
+    docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    docs = spread_rows(docs, "_id").select("_id", F.monotonically_increasing_id().alias("_row"), "_text")
+    return merge_pieces(docs.mapInArrow(_pieces(chunk_chars), _PIECE_DDL)).withColumnRenamed("_id", doc_id)
+
+
+def _pick(test: Column, value: Column) -> Column:
+    return F.when(test, value).otherwise(0.0)
 
 
 def merge_pieces(pieces: DataFrame) -> DataFrame:
-    edge = F.struct("_chunk", "_head", "_tail", "_whole", "_line_open", "_line_first", "_breaks", "_ends", "_bullet", "_first_solid", "_last_solid")
-    sums = pieces.groupBy("_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.array_sort(F.collect_list(edge)).alias("_edges"))
-    common = F.array(*[F.lit(w) for w in sorted(COMMON)])
-    is_common = lambda w: F.when(F.array_contains(common, F.lower(w)), 1.0).otherwise(0.0)
-    zero = F.struct(
-        F.lit(-1).cast("long").alias("chunk"), F.lit("").alias("open"), F.lit(False).alias("line"), F.lit(False).alias("ended"),
-        *[F.lit(0.0).alias(c) for c in ("words", "common", "lines", "ends", "bullets")],
-    )
-    less = lambda test: F.when(test, -1.0).otherwise(0.0)
-
-    def step(acc: Column, e: Column) -> Column:
-        follows = e["_chunk"] == acc["chunk"] + 1
-        joined = follows & (F.length(acc["open"]) > 0) & (F.length(e["_head"]) > 0)
-        whole = F.concat(acc["open"], e["_head"])
-        # one word was counted as two; if the head runs on it stays open
-        fix = F.when(joined, is_common(whole) - is_common(acc["open"]) - is_common(F.regexp_replace(e["_head"], "^[\u0300-\u036f]+", ""))).otherwise(0.0)
-        open_ = F.when(e["_whole"] & joined, F.substring(whole, 1, EDGE_CHARS)).otherwise(e["_tail"])
-        runs_on = follows & acc["line"]
-        both = runs_on & e["_line_first"]
-        line = F.when(e["_breaks"], e["_line_open"]).otherwise(runs_on | e["_line_open"])
-        # quotes and brackets alone leave the end of a sentence before them what it was
-        ended = F.when(e["_breaks"] | e["_last_solid"], e["_ends"]).otherwise(acc["ended"])
-        return F.struct(
-            e["_chunk"].alias("chunk"),
-            open_.alias("open"),
-            line.alias("line"),
-            ended.alias("ended"),
-            (acc["words"] + less(joined)).alias("words"),
-            (acc["common"] + fix).alias("common"),
-            (acc["lines"] + less(both)).alias("lines"),
-            (acc["ends"] + less(both & acc["ended"] & e["_first_solid"])).alias("ends"),
-            (acc["bullets"] + less(runs_on & e["_bullet"])).alias("bullets"),
-        )
-
-    fixed = F.when(F.size("_edges") > 1, F.aggregate("_edges", zero, step)).otherwise(zero)
-    sums = sums.withColumn("_fix", fixed).drop("_edges")
-    put_right = {"n_words": "words", "n_common": "common", "n_lines": "lines", "n_end_lines": "ends", "n_bullet_lines": "bullets"}
-    return sums.select("_id", *[(F.col(c) + F.col(f"_fix.{put_right[c]}")).alias(c) if c in put_right else F.col(c) for c in COUNTS])
-
-
-def _rule(counts: DataFrame) -> Column:
-    names = [F.col(c) for c in COUNTS]
-
-    @F.pandas_udf("boolean")
-    def prose(*columns):
-        import pandas as pd
-
-        return pd.Series([is_prose(dict(zip(COUNTS, values))) for values in zip(*columns)], dtype=bool)
-
-    return prose(*names)
+    end = F.when(F.col("_head").isNotNull(), F.struct("_row", "_chunk", "_head", "_tail", "_cut"))
+    # pieces of a document and each shingle of it make a row, then the document does
+    parts = pieces.groupBy("_id", "_shingle").agg(*[F.sum(c).alias(c) for c in COUNTS], F.collect_list(end).alias("_ends"))
+    once = [F.count(F.when(F.col("_shingle").bitwiseAND(1) == i, 1)).alias(f"_{name}") for i, name in enumerate(DISTINCT)]
+    sums = parts.groupBy("_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.array_sort(F.flatten(F.collect_list("_ends"))).alias("_ends"), *once)
+    zeros = lambda names: F.array(*[F.lit(0.0)] * len(names))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+
+    def step(state: Column, e: Column) -> Column:
+        def put_together(stretch: Column) -> Column:
+            said = F.array(*[x.cast("double") for x in judge([stretch[i] for i in range(len(STRETCH))], _pick)])
+            return F.struct(F.when(e["_cut"], e["_tail"]).otherwise(stretch).alias("open"), F.when(e["_cut"], plus(state["judged"], said)).otherwise(state["judged"]).alias("judged"))
+
+        # an array of one gives the sum of what lies on both sides of a cut a name
+        return F.transform(F.array(plus(state["open"], e["_head"])), put_together)[0]
+
+    none = F.struct(zeros(STRETCH).alias("open"), zeros(JUDGED).alias("judged"))
+    across = F.when(F.size("_ends") > 0, F.aggregate("_ends", none, step)["judged"]).otherwise(zeros(JUDGED))
+    sums = sums.withColumn("_across", across)
+    judged = [(F.col(c) + F.col("_across")[i]).alias(c) for i, c in enumerate(JUDGED)]
+    plain = [(F.col(c) + F.col(f"_{c}")).alias(c) if c in DISTINCT else F.col(c) for c in PLAIN]
+    return sums.select("_id", *plain, *judged)
 
 
 def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, n_words, mean_word_length, symbol_ratio, end_punct_share, bullet_share, common_share, sentence_share, repeated_share, is_prose).
 
-    Words are runs of letters of any script; in scripts without spaces about
-    two characters make one. ``is_prose`` is whether the text is made up mostly of
-    sentences, or is a short phrase of natural words; lists, tables, and junk (no
-    words, words in no order, one thing over and over) are not.
+    Words are runs of letters of any script; in scripts without spaces about two
+    characters make one. ``common_share`` is of function words of six languages,
+    ``repeated_share`` that of runs of five words which stand earlier in the text.
+    ``is_prose`` is whether the text is made up mostly of sentences, or is a short
+    phrase of natural words; lists, tables, and junk (no words, words in no order,
+    one thing over and over) are not. What a sentence is does not depend on the
+    language: see :func:`emberline.llm.textstats.judge`.
 
     Defined cases: a null or empty text has no words, ratios of 0 and is no prose;
-    a null ``doc_id`` gives no row; the counts of a repeated ``doc_id`` are added up; a text of any length is read whole; an empty table gives no rows; other
-    columns are not read.
+    a null ``doc_id`` gives no row; the counts of a repeated ``doc_id`` are added up; a
+    text of any length is read whole; an empty table gives no rows; other columns are
+    not read.
     """
     c = text_counts(df, doc_id, text, **options)
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    solid = F.col("n_chars") - F.col("n_spaces")
-    return c.withColumn("_prose", _rule(c)).select(
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    counts = {name: F.col(name) for name in COUNTS}
+    return c.select(
         doc_id,
-        (F.col("n_words") + F.ceil(F.col("n_cjk") / 2.2)).cast("long").alias("n_words"),
-        share("n_word_chars", "n_words").alias("mean_word_length"),
-        F.when(solid > 0, F.col("n_symbols") / solid).otherwise(0.0).alias("symbol_ratio"),
-        share("n_end_lines", "n_lines").alias("end_punct_share"),
-        share("n_bullet_lines", "n_lines").alias("bullet_share"),
-        share("common_units", "unit_words").alias("common_share"),
-        share("sentence_words", "unit_words").alias("sentence_share"),
-        share("repeated_words", "unit_words").alias("repeated_share"),
-        F.col("_prose").alias("is_prose"),
+        (F.col("n_words") + F.ceil(F.col("n_unspaced") / UNSPACED_WORD)).cast("long").alias("n_words"),
+        share(F.col("n_word_chars"), F.col("n_words")).alias("mean_word_length"),
+        share(F.col("n_symbols"), F.col("n_chars") - F.col("n_spaces")).alias("symbol_ratio"),
+        share(F.col("n_end_lines"), F.col("n_lines")).alias("end_punct_share"),
+        share(F.col("n_bullet_lines"), F.col("n_lines")).alias("bullet_share"),
+        share(F.col("n_common"), F.col("n_words")).alias("common_share"),
+        share(sentence_words(counts, _pick), F.col("unit_words")).alias("sentence_share"),
+        share(F.col("n_shingles") - F.col("n_distinct_shingles"), F.col("n_shingles")).alias("repeated_share"),
+        prose_rule(counts, _pick).alias("is_prose"),
     )
