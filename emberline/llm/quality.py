@@ -14,15 +14,13 @@ from emberline.llm.textstats import COUNTS, JUDGED, PLAIN, STRETCH, UNSPACED_WOR
 
 #: Characters of a piece; a longer text is counted piece by piece. No result depends on it.
 CHUNK_CHARS = 1 << 13
-#: Counts that a text's pieces do not add up to.
-DISTINCT = ("n_distinct_shingles", "n_distinct_runs")
 
 _DOUBLES = pa.list_(pa.float64())
 _PIECE = pa.schema(
     [("_id", pa.int64()), ("_row", pa.int64()), ("_chunk", pa.int64()), *[(c, pa.float64()) for c in COUNTS]]
-    + [("_head", _DOUBLES), ("_tail", _DOUBLES), ("_cut", pa.bool_()), ("_shingle", pa.int64())]
+    + [("_head", _DOUBLES), ("_tail", _DOUBLES), ("_cut", pa.bool_())]
 )
-_PIECE_DDL = ", ".join(["_id long", "_row long", "_chunk long", *[f"{c} double" for c in COUNTS], "_head array<double>", "_tail array<double>", "_cut boolean", "_shingle long"])
+_PIECE_DDL = ", ".join(["_id long", "_row long", "_chunk long", *[f"{c} double" for c in COUNTS], "_head array<double>", "_tail array<double>", "_cut boolean"])
 
 
 def _vectors(values: np.ndarray, missing: np.ndarray) -> pa.Array:
@@ -36,22 +34,9 @@ def _pieces(chunk: int):
             ids, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for rows, chunks, counted, whole in count_texts(batch.column(2).cast(pa.binary()).to_pylist(), chunk):
                 values = np.hstack([counted.plain, counted.judged])
-                cut_up = ~whole
-                if cut_up.any():  # shingles of a text's pieces are told apart when the pieces meet
-                    for name in DISTINCT:
-                        values[cut_up, COUNTS.index(name)] = 0
                 known = [pa.array(ids[rows]), pa.array(places[rows]), pa.array(chunks)]
                 ends = [_vectors(counted.head, whole), _vectors(counted.tail, whole), pa.array(counted.cut, mask=whole)]
-                yield pa.RecordBatch.from_arrays([*known, *[pa.array(v) for v in values.T], *ends, pa.nulls(len(rows), pa.int64())], schema=_PIECE)
-                at = np.flatnonzero(cut_up[counted.shingle_piece])
-                if len(at):
-                    row = rows[counted.shingle_piece[at]]
-                    # a document that stands in several rows has each row's shingles
-                    mark = (counted.shingle[at] ^ (places[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C14))).view(np.int64)
-                    n = len(at)
-                    columns = [pa.array(ids[row]), pa.array(places[row]), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.float64())] * len(COUNTS)]
-                    columns += [pa.nulls(n, _DOUBLES), pa.nulls(n, _DOUBLES), pa.nulls(n, pa.bool_()), pa.array(mark)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=_PIECE)
+                yield pa.RecordBatch.from_arrays([*known, *[pa.array(v) for v in values.T], *ends], schema=_PIECE)
 
     return run
 
@@ -63,8 +48,9 @@ def text_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk
     many characters around it as its counts can depend on. The counts of pieces are
     summed map-side, then per document, which is a tree of sums. A stretch of text
     that a cut goes through is given as sums on both sides, which are added up in the
-    pieces' order before the stretch is judged; distinct shingles are counted over
-    all pieces. So every count is that of the whole text, wherever it is cut.
+    pieces' order before the stretch is judged. So every count is that of the whole
+    text, wherever it is cut. A text's pieces are counted in the task that reads it,
+    which keeps the numbers of its shingles until it knows how many differ.
     """
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     docs = spread_rows(docs, "_id").select("_id", F.monotonically_increasing_id().alias("_row"), "_text")
@@ -77,10 +63,7 @@ def _pick(test: Column, value: Column) -> Column:
 
 def merge_pieces(pieces: DataFrame) -> DataFrame:
     end = F.when(F.col("_head").isNotNull(), F.struct("_row", "_chunk", "_head", "_tail", "_cut"))
-    # pieces of a document and each shingle of it make a row, then the document does
-    parts = pieces.groupBy("_id", "_shingle").agg(*[F.sum(c).alias(c) for c in COUNTS], F.collect_list(end).alias("_ends"))
-    once = [F.count(F.when(F.col("_shingle").bitwiseAND(1) == i, 1)).alias(f"_{name}") for i, name in enumerate(DISTINCT)]
-    sums = parts.groupBy("_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.array_sort(F.flatten(F.collect_list("_ends"))).alias("_ends"), *once)
+    sums = pieces.groupBy("_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.array_sort(F.collect_list(end)).alias("_ends"))
     zeros = lambda names: F.array(*[F.lit(0.0)] * len(names))
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
 
@@ -96,8 +79,7 @@ def merge_pieces(pieces: DataFrame) -> DataFrame:
     across = F.when(F.size("_ends") > 0, F.aggregate("_ends", none, step)["judged"]).otherwise(zeros(JUDGED))
     sums = sums.withColumn("_across", across)
     judged = [(F.col(c) + F.col("_across")[i]).alias(c) for i, c in enumerate(JUDGED)]
-    plain = [(F.col(c) + F.col(f"_{c}")).alias(c) if c in DISTINCT else F.col(c) for c in PLAIN]
-    return sums.select("_id", *plain, *judged)
+    return sums.select("_id", *PLAIN, *judged)
 
 
 def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

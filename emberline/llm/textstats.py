@@ -124,6 +124,8 @@ STRETCH = ("words", "evidence", "common", "odd", "commas", "marks", "closed", "u
 #: What stretches amount to, summed over a text's.
 JUDGED = ("n_units", "unit_words", "evidence", "closed_words", "marked_words", "open_35", "open_45", "open_75", "salad_words", "n_open", "open_words")
 COUNTS = PLAIN + JUDGED
+#: Where the counts stand that pieces don't add up to.
+DISTINCT = [PLAIN.index("n_distinct_shingles"), PLAIN.index("n_distinct_runs")]
 
 #: Least words of a sentence that ends as one, of one in a script or case that shows its begin, of a line
 #: that nothing ends, alone and among others, and of an item or a cell.
@@ -165,14 +167,14 @@ def pick_array(test: np.ndarray, value: np.ndarray) -> np.ndarray:
 class Counted:
     """``plain``: PLAIN per piece; ``judged``: JUDGED of the stretches that lie within a piece; ``head`` and
     ``tail``: STRETCH of what a piece holds of the stretches it cuts; ``cut``: whether it ends one;
-    ``shingle_piece``, ``shingle``: the distinct shingles of each piece."""
+    ``shingle``: the distinct shingles of each piece."""
 
     def __init__(self, n: int):
         self.plain = np.zeros((n, len(PLAIN)))
         self.judged = np.zeros((n, len(JUDGED)))
         self.head, self.tail = np.zeros((n, len(STRETCH))), np.zeros((n, len(STRETCH)))
         self.cut = np.zeros(n, bool)
-        self.shingle_piece, self.shingle = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.shingle = np.zeros(0, np.uint64)
 
 
 def _shift(a: np.ndarray, k: int, fill=0) -> np.ndarray:
@@ -506,9 +508,9 @@ def count_pieces(c: np.ndarray, begin: np.ndarray, end: np.ndarray, lo: np.ndarr
     p, h = p[order], h[order]
     new = np.ones(len(order), bool)
     new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
-    out.shingle_piece, out.shingle = p[new], h[new]
+    owners, out.shingle = p[new], h[new]
     for i, name in enumerate(("shingles", "runs")):
-        put(f"n_distinct_{name}", np.bincount(out.shingle_piece[(out.shingle & np.uint64(1)) == i], minlength=pieces))
+        put(f"n_distinct_{name}", np.bincount(owners[(out.shingle & np.uint64(1)) == i], minlength=pieces))
     return out
 
 
@@ -558,15 +560,23 @@ def count_texts(texts: Sequence[bytes | None], chunk: int, group: int = 1 << 17)
                 rows, small, held = [], [], 0
             continue
         points = _code_points(text)
-        step: list[tuple] = []
-        for k, at in enumerate(range(0, len(points), chunk)):
-            a, b = max(0, at - BEFORE), min(len(points), at + chunk + AFTER)
-            step.append((i, k, points[a:b], (at - a, min(at + chunk, len(points)) - a), (at == 0, at + chunk >= len(points))))
-            if sum(len(x[2]) for x in step) >= group:
-                yield _group(*map(list, zip(*step)))
-                step = []
-        if step:
-            yield _group(*map(list, zip(*step)))
+        starts = range(0, len(points), chunk)
+        at_once = max(1, group // (chunk + BEFORE + AFTER))
+        seen: list[np.ndarray] = []
+        for k in range(0, len(starts), at_once):
+            step = []
+            for n, at in enumerate(starts[k : k + at_once], k):
+                a, b = max(0, at - BEFORE), min(len(points), at + chunk + AFTER)
+                step.append((i, n, points[a:b], (at - a, min(at + chunk, len(points)) - a), (at == 0, at + chunk >= len(points))))
+            found = _group(*map(list, zip(*step)))
+            counted = found[2]
+            # shingles differ over the whole text; its last piece tells how many
+            seen.append(np.unique(counted.shingle))
+            counted.plain[:, DISTINCT] = 0
+            if k + at_once >= len(starts):
+                every = np.unique(np.concatenate(seen)) & np.uint64(1)
+                counted.plain[-1, DISTINCT] = [(every == 0).sum(), (every == 1).sum()]
+            yield found
     if rows:
         yield _whole(rows, small)
 
