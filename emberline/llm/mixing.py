@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.common import written
+from emberline.common import broadcast_checked, written
 
 #: Documents of a source that one task puts in order.
 BUCKET_DOCS = 50_000
-#: Most sources the targets may name; their table goes to every task.
-MOST_SOURCES = 10_000
 
 
 def running_total(df: DataFrame, group: str, order: str, value: str, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
@@ -28,11 +26,11 @@ def running_total(df: DataFrame, group: str, order: str, value: str, bucket_docs
     return ranked.join(before, [group, "_bucket"]).withColumn("_upto", F.col("_before") + F.col("_in")).drop("_bucket", "_in", "_before")
 
 
-def clean_targets(targets: DataFrame) -> list[tuple[str, float, int]]:
-    rows = targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL AND target_share > 0").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    return sorted((r[0], float(r[1]), max(1, r[2] or 1)) for r in rows)
+def clean_targets(targets: DataFrame) -> DataFrame:
+    """(source, _share, _most) of the targets that ask for something, one row per source."""
+    rows = targets.where("source IS NOT NULL AND target_share > 0")
+    most = F.greatest(F.coalesce(F.col("max_repeats"), F.lit(1)), F.lit(1)).cast("int")
+    return rows.select(F.col("source").cast("string"), F.col("target_share").cast("double").alias("_share"), most.alias("_most"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17) -> DataFrame:
@@ -54,24 +52,21 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     columns are not read.
     """
     wanted = clean_targets(targets)
-    schema = "source string, _share double, _most int"
-    spark = docs.sparkSession
-    share = F.broadcast(spark.createDataFrame(wanted, schema))
     rows = docs.where("doc_id IS NOT NULL AND tokens > 0").select("source", F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"))
-    rows = rows.join(share.select("source"), "source", "left_semi")
-    totals = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("tokens")).collect()}  # no more rows than targets
-    limits = [(s, w, m, totals[s], totals[s] * m / w) for s, w, m in wanted if s in totals]
-    reach = min((x[4] for x in limits), default=0.0)
-    reach = reach if budget is None else min(reach, float(budget))
+    totals = rows.where("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("_total"))
+    limits = written(wanted.join(totals, "source"), "limits")  # a row per source
+    most = limits.agg(F.min(F.col("_total") * F.col("_most") / F.col("_share"))).first()[0] or 0.0
+    reach = most if budget is None else min(most, float(budget))
 
-    queue = running_total(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), "source", "_h", "tokens")
     # passes that can begin before the end, at most max_repeats
-    passes = [(s, w, t, int(min(m, -(-w * reach // t)))) for s, w, m, t, _ in limits]
-    plan = F.broadcast(spark.createDataFrame(passes, "source string, _share double, _total long, _passes int"))
+    passes = F.least(F.col("_most"), F.ceil(F.col("_share") * F.lit(reach) / F.col("_total")).cast("int"))
+    plan = broadcast_checked(limits.select("source", "_share", "_total", passes.alias("_passes")))
+    queue = running_total(rows.join(plan.select("source"), "source", "left_semi").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), "source", "_h", "tokens")
     queue = queue.join(plan, "source").where("_passes > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)).alias("pass_no"))
     queue = queue.withColumn("_finish", (F.col("pass_no") * F.col("_total") + F.col("_upto")) / F.col("_share"))
     chosen = queue.where(F.col("_finish") <= F.lit(reach * (1 + 1e-12)))
     order = ["_finish", "source", "doc_id", "pass_no"]
+    # a prefix of this order is cut at the budget, so ranges are put in order where they lie
     ranged = written(chosen.select(*order, "tokens").repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "mixed")
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
@@ -90,3 +85,23 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     out = targets.select("source", "target_share", "max_repeats").join(F.broadcast(per), "source", "left").select("source", "target_share", "max_repeats", zero("n_docs"), zero("n_uses"), zero("n_tokens"))
     everything = Window.partitionBy()  # a row per target
     return out.withColumn("actual_share", F.round(F.coalesce(F.try_divide(F.col("n_tokens"), F.sum("n_tokens").over(everything)), F.lit(0.0)), 6))
+
+
+def broken_rules(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """What a mix must keep, for every source with a target: (source, over_used, foreign, share_off); all 0.
+    No document is used more often than it may or is not in its source, and the source's tokens are off its
+    share of all by no more than one document, the longest of all."""
+    wanted = clean_targets(targets)
+    uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("_uses"), F.sum("tokens").alias("_t"))
+    real = docs.select("source", "doc_id", F.lit(1).alias("_real")).where("doc_id IS NOT NULL").distinct()
+    uses = uses.join(real, ["source", "doc_id"], "left")
+    longest = docs.agg(F.max("tokens").alias("_longest"))
+    per = uses.join(broadcast_checked(wanted), "source", "left").groupBy("source").agg(
+        F.count(F.when(F.col("_uses") > F.col("_most"), 1)).alias("over_used"), F.count(F.when(F.col("_real").isNull() | F.col("_share").isNull(), 1)).alias("foreign"), F.sum("_t").alias("_tokens")
+    )
+    shares = per.join(wanted.select("source", "_share"), "source").join(F.broadcast(longest))  # one row
+    everything = Window.partitionBy()  # a row per source
+    off = F.abs(F.col("_tokens") - F.sum("_tokens").over(everything) * F.col("_share") / F.sum("_share").over(everything)) > F.col("_longest")
+    shares = shares.select("source", "over_used", "foreign", off.cast("long").alias("share_off"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return wanted.select("source").join(shares, "source", "left").select("source", zero("over_used"), zero("foreign"), zero("share_off"))

@@ -105,3 +105,40 @@ def test_token_counts_round_trip(spark):
     for i, t in enumerate(texts):
         ids = enc.encode_ordinary(t or "")
         assert got[i] == len(ids) and enc.decode(ids) == (t or "")
+
+
+def test_large_containers_are_full_and_alike():
+    rng = np.random.default_rng(6)
+    sizes = np.minimum(rng.lognormal(4.2, 1.3, 20_000).astype(np.int64) + 1, 8192)
+    squares = sizes.astype(float) ** 2
+    for capacity in (8192, 65_536):
+        fewest = -(-int(sizes.sum()) // capacity)
+        most, cost = 2 * len(sizes) // fewest, 2 * squares.sum() / fewest
+        at = packing.best_fit(sizes, capacity, most, cost, costs=np.where(squares > cost, 0.0, squares))
+        n = at.max() + 1
+        assert fewest / n >= 0.99
+        count = np.bincount(at)
+        assert count.max() <= most
+        assert np.bincount(at, weights=np.where(squares > cost, 0.0, squares)).max() <= cost
+        # the limits bind: without them some containers hold many times more
+        free = np.bincount(packing.best_fit(sizes, capacity, len(sizes), 1e18))
+        assert capacity > 8192 or free.max() > count.max()
+
+
+def test_packing_rules_are_counted(spark):
+    rows = [(i, 40 + i % 90, "clash", 1) for i in range(300)]
+    df = docs(spark, rows)
+    packed = packing.pack(df, [(1, 256)])
+    assert packing.broken_rules(packed, df, [(1, 256)]).first()[1:] == (300, 0, 0, 0, 0, 0)
+    lost = packing.broken_rules(packed.where("doc_id <> 7"), df, [(1, 256)]).first()
+    assert lost["lost_docs"] == 1
+    assert packing.broken_rules(packed.withColumn("container", F.lit("0-0")), df, [(1, 256)]).first()["over_capacity"] == 1
+
+
+def test_mixing_has_no_most_sources(spark):
+    n = 12_000  # more than were once allowed
+    df = spark.range(n * 2).select((F.col("id") % n).cast("string").alias("source"), F.col("id").alias("doc_id"), F.lit(10).cast("long").alias("tokens"))
+    targets = spark.range(n).select(F.col("id").cast("string").alias("source"), F.lit(1.0 / n).alias("target_share"), F.lit(1).alias("max_repeats"))
+    mixed = mixing.mix(df, targets)
+    assert mixed.count() == 2 * n
+    assert mixing.broken_rules(mixed, df, targets).agg(F.sum(F.col("over_used") + F.col("foreign") + F.col("share_off"))).first()[0] == 0
