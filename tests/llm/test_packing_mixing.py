@@ -113,7 +113,7 @@ def test_large_containers_are_full_and_alike():
     squares = sizes.astype(float) ** 2
     for capacity in (8192, 65_536):
         fewest = -(-int(sizes.sum()) // capacity)
-        most, cost = 2 * len(sizes) // fewest, 2 * squares.sum() / fewest
+        most, cost = int(packing.DOCS_SLACK * len(sizes) / fewest), packing.ATTENTION_SLACK * squares.sum() / fewest
         at = packing.best_fit(sizes, capacity, most, cost, costs=np.where(squares > cost, 0.0, squares))
         n = at.max() + 1
         assert fewest / n >= 0.99
