@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Open end of a half-open interval in the stored tables.
@@ -68,15 +68,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that setting is absent
-    it is a folder in the warehouse, or on a single machine, as in tests, one of
-    this process.
+    it is a folder in the warehouse, if that is one which all machines see, or on a
+    single machine, as in tests, one of this process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_emberline"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return warehouse.rstrip("/") + "/_emberline"
     return os.path.join(tempfile.gettempdir(), f"emberline-{os.getpid()}")
 
 
@@ -112,12 +115,28 @@ def broadcast_checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most) else df
 
 
+def in_order(df: DataFrame, order: list[str], rank: str) -> DataFrame:
+    """``df`` with the place of each row, 1.., in the order of columns, no matter how many rows: it is written
+    in ranges, each of which is numbered and moved by the sizes of those before it."""
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    placed = ranged.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(sizes), "_range")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_in")).alias(rank))
+
+
 def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work in Python that costs far more than
     moving its rows. A scan of many files has enough and stays as it is; only a few small files are spread."""
     ship(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # a scan of less is read by fewer tasks; nothing of the plan is run to know its size
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    return df.repartition(cores, *keys) if size < cores * least else df
 
 
 def real_edges(edges: DataFrame) -> DataFrame:

@@ -6,11 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.common import BROADCAST_ROWS, T_MAX
+from emberline.operators.skew import task_share
 
-#: A key with at least this share of all references is heavy. At most ``1 / HEAVY_SHARE`` keys are.
+#: A key with at least this share of all references is heavy, or with half of what a shuffle's task
+#: gets on average if that is less.
 HEAVY_SHARE = 1 / 500
+#: Most heavy keys that stand in a condition; more are told by a broadcast table.
+LISTED_KEYS = 1000
 #: Copies of a heavy target's rows if they are too many to broadcast.
 FALLBACK_SALTS = 64
 
@@ -58,7 +63,7 @@ def orphan_references(
     columns: Sequence[str],
     key: str = "dst",
     time: str = "valid_from",
-    heavy_share: float = HEAVY_SHARE,
+    heavy_share: float | None = None,
     most_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Distinct ``columns`` of ``refs`` whose ``key`` names no real target alive at ``time``, with the reason.
@@ -69,12 +74,14 @@ def orphan_references(
     ``placeholder`` (only placeholder rows), ``late`` (a real row observed after
     ``time``), ``deleted``.
 
-    Plan: references are counted per key; the few heavy keys (at most
-    ``1 / heavy_share``) have their references reduced map-side and checked
-    against a broadcast of their own targets, so no task gets a heavy key. All
-    others are shuffled once by key, made distinct there and anti-joined in that
-    partitioning. Both parts are united. If the heavy targets' versions are more
-    than ``most_broadcast`` rows, they are copied over salts and joined by shuffle.
+    Plan: references are counted per key, map-side first; the heavy keys (at most
+    ``1 / heavy_share``, by default twice as many as a shuffle has tasks, or 500) have
+    their references reduced map-side and checked against a broadcast of their own
+    targets, so no task gets a heavy key. All others are shuffled once by key, made
+    distinct there and anti-joined in that partitioning; to make them distinct before
+    would take a shuffle more. Both parts are united. If the heavy targets' versions
+    are more than ``most_broadcast`` rows, they are copied over salts and joined by
+    shuffle.
 
     Defined cases: a null key is no reference; a null ``time`` or a null
     placeholder flag proves nothing (orphan, and not real); repeated rows count
@@ -84,14 +91,12 @@ def orphan_references(
     columns = list(columns)
     refs = refs.where(F.col(key).isNotNull()).select(*columns)
     alive, known = target_frames(targets)
-    heavy = heavy_keys(refs, key, heavy_share)
-
-    is_heavy = F.col(key).isin(heavy) if heavy else F.lit(False)
-    light = refs.where(~is_heavy).repartition(key).distinct()
+    heavy = heavy_keys(refs, key, heavy_share or task_share(refs.sparkSession, HEAVY_SHARE))
+    light = _of(refs, key, heavy, False).repartition(key).distinct()
     found = _unmatched(light, alive, known, key, time)
     if heavy:
-        hot = refs.where(is_heavy).distinct()
-        hot_alive, hot_known = (x.where(F.col("_name").isin(heavy)) for x in (alive, known))
+        hot = _of(refs, key, heavy, True).distinct()
+        hot_alive, hot_known = (_of(x, "_name", heavy, True) for x in (alive, known))
         if hot_alive.limit(most_broadcast + 1).count() <= most_broadcast:
             hot_found = _unmatched(hot, F.broadcast(hot_alive), F.broadcast(hot_known), key, time)
         else:
@@ -104,6 +109,15 @@ def orphan_references(
     return found
 
 
+def _of(df: DataFrame, key: str, values: list, inside: bool) -> DataFrame:
+    """Rows whose ``key``, which is not null, is among ``values``, or is not."""
+    if len(values) <= LISTED_KEYS:
+        test = F.col(key).isin(values) if values else F.lit(False)
+        return df.where(test if inside else ~test)
+    listed = df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField(key, df.schema[key].dataType)]))
+    return df.join(F.broadcast(listed), key, "left_semi" if inside else "left_anti").select(*df.columns)
+
+
 def _unmatched(refs: DataFrame, alive: DataFrame, known: DataFrame, key: str, time: str, salted: bool = False) -> DataFrame:
     on = (F.col(key) == F.col("_name")) & (F.col("_from") <= F.col(time)) & (F.col(time) < F.col("_to"))
     if salted:

@@ -7,122 +7,99 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.common import T_MAX
-from emberline.operators.skew import guess_heavy
+from emberline.common import T_MAX, broadcast_checked
+from emberline.operators.skew import guess_heavy, task_share
 
-#: Time slices that a heavy entity's boundaries are cut into.
+#: Time slices that a heavy entity's starts, and its ends, are cut into.
 SLICES = 64
+#: Ranks of an entity that one task looks through for the end of a period.
+RANKS = 500_000
 
 
-def boundaries(intervals: DataFrame, entity: Sequence[str], start: str, end: str) -> DataFrame:
-    """(entity, _t, _starts, _ends): how many intervals start and end at each time, counted map-side first."""
-    at = lambda t, s, e: F.struct(F.col(t).alias("_t"), F.lit(s).alias("_s"), F.lit(e).alias("_e"))
-    both = intervals.select(*entity, F.explode(F.array(at(start, 1, 0), at(end, 0, 1))).alias("_x")).select(*entity, "_x.*")
-    return both.groupBy(*entity, "_t").agg(F.sum("_s").alias("_starts"), F.sum("_e").alias("_ends"))
+def _proper(df: DataFrame, entity: Sequence[str], start: str, end: str) -> DataFrame:
+    to = F.coalesce(F.col(end), F.lit(T_MAX))
+    return df.select(*entity, F.col(start).alias("_from"), to.alias("_to")).where("_from < _to")
 
 
-def ranked_boundaries(
-    intervals: DataFrame, entity: Sequence[str], start: str, end: str, slices: int | None = None, raw: DataFrame | None = None
-) -> DataFrame:
-    """(entity, _t, _starts, _ends, _s_to, _e_to): the greatest rank of the entity's starts and of its ends at each time.
+def ranked_bounds(intervals: DataFrame, entity: Sequence[str], slices: int | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """(entity, _i, _end, _start): the i-th end of an entity and the start of rank i + 1, from (entity, _from, _to).
 
-    Ranks are counted separately for starts and ends. An entity with very many
-    boundaries is cut into slices of time by its own quantiles, ranked within each
-    slice, and moved by what the slices before it hold, so no task sorts more than
-    a slice of it. Where the slices lie changes no result: ``raw``, if given, is a
-    cheaper frame with ``entity`` and ``start`` to find heavy entities and slices from.
+    Starts and ends are sorted independently. ``_end`` is null at rank 0 and ``_start``
+    at the last one. Without heavy entities one shuffle by entity serves the sort and
+    the pairing. A heavy entity's starts and its ends are cut into slices of time by
+    its own quantiles, sorted slice by slice, and moved by what the slices before
+    hold; pairs are then made by entity and rank, so no task gets more of it than a
+    slice. Where the slices lie changes no result: ``raw``, if given, is a cheaper frame
+    with ``entity``, ``_from`` and ``_to`` to find heavy entities and slices from.
     """
     entity, slices = list(entity), slices or SLICES
-    marks = boundaries(intervals, entity, start, end)
     raw = intervals if raw is None else raw
-    heavy = guess_heavy(raw, entity)
+    heavy = guess_heavy(raw, entity, task_share(intervals.sparkSession))
+    at = lambda t, end: F.struct(F.lit(end).alias("_ends"), F.col(t).alias("_t"))
+    both = lambda df: df.select(*entity, F.explode(F.array(at("_from", False), at("_to", True))).alias("_x")).select(*entity, "_x.*")
+    i = F.col("_r") - F.when(F.col("_ends"), 0).otherwise(1)
+    pair = [F.max(F.when(F.col("_ends"), F.col("_t"))).alias("_end"), F.max(F.when(~F.col("_ends"), F.col("_t"))).alias("_start")]
     if not heavy:
-        w = Window.partitionBy(*entity).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-        return marks.select("*", F.sum("_starts").over(w).alias("_s_to"), F.sum("_ends").over(w).alias("_e_to"))
-
-    spark = intervals.sparkSession
-    schema = intervals.select(*entity).schema
-    hot = F.broadcast(spark.createDataFrame(heavy, schema))
-    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in entity]
-    cut = [i / slices for i in range(1, slices)]
-    hot_cuts = (
-        raw.alias("i").join(hot.alias("h"), same("i", "h"), "left_semi")
-        .groupBy(*entity).agg(F.percentile_approx(start, cut, 1000).alias("_cuts"))
-    )
-    # at most one row for each heavy entity, of which there are at most 1 / GUESS_SHARE
-    marks = marks.alias("m").join(F.broadcast(hot_cuts).alias("c"), same("m", "c"), "left").select("m.*", "c._cuts")
+        w = Window.partitionBy(*entity, "_ends").orderBy("_t")
+        ranked = both(intervals).repartition(*entity).withColumn("_r", F.row_number().over(w).cast("long"))
+        return ranked.groupBy(*entity, i.alias("_i")).agg(*pair)
+
+    hot = F.broadcast(intervals.sparkSession.createDataFrame(heavy, intervals.select(*entity).schema))  # at most 1 / share rows
+    same = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*entity, *more]]
+    of_hot = lambda df: df.alias("m").join(hot.alias("h"), same("m", "h"), "left_semi")
+    cut = [k / slices for k in range(1, slices)] or [1.0]
+    cuts = of_hot(both(raw)).groupBy(*entity, "_ends").agg(F.percentile_approx("_t", cut, 1000).alias("_cuts"))
+    marks = both(intervals).alias("m").join(F.broadcast(cuts).alias("c"), same("m", "c", "_ends"), "left").select("m.*", "c._cuts")
     slice_ = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda x: x < F.col("_t"))))
     marks = marks.withColumn("_slice", slice_).drop("_cuts")
-    within = Window.partitionBy(*entity, "_slice").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    marks = marks.select("*", F.sum("_starts").over(within).alias("_s_in"), F.sum("_ends").over(within).alias("_e_in"))
-    earlier = Window.partitionBy(*entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sliced = marks.where(F.col("_slice").isNotNull()).alias("m").join(hot.alias("h"), same("m", "h"), "left_semi")
-    before = (
-        sliced.groupBy(*entity, "_slice").agg(F.sum("_starts").alias("_s"), F.sum("_ends").alias("_e"))
-        .select(*entity, "_slice", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s_before"), F.coalesce(F.sum("_e").over(earlier), F.lit(0)).alias("_e_before"))
-    )
-    on = [*same("m", "b"), F.col("m._slice") == F.col("b._slice")]
-    joined = marks.alias("m").join(F.broadcast(before).alias("b"), on, "left")  # at most slices rows for each heavy entity
-    return joined.select(
-        *[F.col(f"m.{c}") for c in [*entity, "_t", "_starts", "_ends"]],
-        (F.col("_s_in") + F.coalesce("_s_before", F.lit(0))).alias("_s_to"),
-        (F.col("_e_in") + F.coalesce("_e_before", F.lit(0))).alias("_e_to"),
-    )
-
-
-def _proper(df: DataFrame, entity: Sequence[str], start: str, end: str) -> DataFrame:
-    to = F.coalesce(F.col(end), F.lit(T_MAX))
-    return df.select(*entity, F.col(start).alias("_from"), to.alias("_to")).where("_from < _to")
-
+    earlier = Window.partitionBy(*entity, "_ends").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = of_hot(marks).groupBy(*entity, "_ends", "_slice").agg(F.count("*").alias("_n"))
+    held = held.select(*entity, "_ends", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*entity, "_ends", "_slice").orderBy("_t")
+    ranked = marks.withColumn("_in", F.row_number().over(within)).alias("m")
+    ranked = ranked.join(F.broadcast(held).alias("b"), same("m", "b", "_ends", "_slice"), "left")  # at most 2 * slices rows for each heavy entity
+    ranked = ranked.select("m.*", (F.col("_in") + F.coalesce("_before", F.lit(0))).alias("_r"))
+    return ranked.groupBy(*entity, i.alias("_i")).agg(*pair)
 
-def _edges_of_cover(df: DataFrame, entity: Sequence[str], start: str, end: str, raw: DataFrame | None) -> DataFrame:
-    """Rows where cover begins or ends: (entity, _t, _opens, _closes, _rank).
-
-    With starts and ends sorted independently, the i-th end closes a period when
-    the start of rank i+1 is later, that is when as many intervals have ended by
-    then as have started; the start of rank i+1 opens one when all i ends before
-    it are earlier. ``_rank`` is that i: what a gap's two ends have in common.
-    """
-    raw = None if raw is None else raw.select(*entity, F.col(start).alias("_from"))
-    marks = ranked_boundaries(_proper(df, entity, start, end), list(entity), "_from", "_to", raw=raw)
-    closes = (F.col("_ends") > 0) & (F.col("_s_to") == F.col("_e_to"))
-    s_before, e_before = F.col("_s_to") - F.col("_starts"), F.col("_e_to") - F.col("_ends")
-    opens = (F.col("_starts") > 0) & (s_before == e_before) & (F.col("_ends") == 0)
-    return marks.select(*entity, "_t", opens.alias("_opens"), closes.alias("_closes"), s_before.alias("_s_before"), F.col("_e_to").alias("_e_to")).where("_opens OR _closes")
 
-
-def _paired(a: DataFrame, b: DataFrame, entity: Sequence[str], how: str) -> DataFrame:
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in entity] + [F.col("a._i") == F.col("b._i")]
-    return a.alias("a").join(b.alias("b"), on, how)
+def _bounds(df: DataFrame, entity: Sequence[str], start: str, end: str, raw: DataFrame | None) -> DataFrame:
+    raw = None if raw is None else _proper(raw, entity, start, end)
+    return ranked_bounds(_proper(df, entity, start, end), list(entity), raw=raw)
 
 
 def gaps(df: DataFrame, entity: Sequence[str], start: str, end: str, raw: DataFrame | None = None) -> DataFrame:
     """(entity, gap_from, gap_to): the longest spans between two covered periods of an entity.
 
+    With starts and ends sorted independently, there is a gap behind the i-th end
+    where the start of rank i + 1 is later: as many intervals are over by then as had
+    begun.
+
     Intervals are half-open; a null or greatest ``end`` never comes. Those with
     ``end`` <= ``start`` or a null ``start`` cover nothing. Periods that touch leave
     no gap. Repeated and nested intervals change nothing, nulls in ``entity`` are
     values, an empty table has no gaps, other columns are not read.
     """
-    entity = list(entity)
-    cover = _edges_of_cover(df, entity, start, end, raw)
-    ends = cover.where("_closes").select(*entity, F.col("_e_to").alias("_i"), F.col("_t").alias("gap_from"))
-    starts = cover.where("_opens").select(*entity, F.col("_s_before").alias("_i"), F.col("_t").alias("gap_to"))
-    pairs = _paired(ends, starts, entity, "inner").where("gap_to > gap_from")
-    return pairs.select(*[F.col(f"a.{c}").alias(c) for c in entity], "gap_from", "gap_to")
+    found = _bounds(df, entity, start, end, raw).where("_start > _end")
+    return found.select(*entity, F.col("_end").alias("gap_from"), F.col("_start").alias("gap_to"))
 
 
 def periods(df: DataFrame, entity: Sequence[str], start: str, end: str, raw: DataFrame | None = None) -> DataFrame:
     """(entity, period_from, period_to): the continuous periods an entity is covered; ``period_to`` null if it never ends.
 
-    Cases as in :func:`gaps`. Openings and closings are ranked in time order and
-    the k-th opening pairs with the k-th closing.
+    Cases as in :func:`gaps`. A period begins at the first start or behind a gap, and
+    ends at the end before the next gap or at the last one: between two neighbouring
+    ranks with a gap or nothing on one side. These are looked for among ``RANKS`` ranks
+    in one task; where there are none behind a start, those of later ranks tell.
     """
     entity = list(entity)
-    cover = _edges_of_cover(df, entity, start, end, raw)
-    # openings and closings alternate, so a window over these few rows suffices
-    w = Window.partitionBy(*entity).orderBy("_t")
-    flat = cover.select("*", F.lead(F.when(F.col("_closes"), F.col("_t"))).over(w).alias("_until"))
-    return flat.where("_opens").select(
-        *entity, F.col("_t").alias("period_from"), F.when(F.col("_until") != T_MAX, F.col("_until")).alias("period_to")
-    )
+    breaks = _bounds(df, entity, start, end, raw).where("_start > _end OR _start IS NULL OR _end IS NULL")
+    breaks = breaks.withColumn("_bucket", F.floor(F.col("_i") / RANKS))
+    inside = Window.partitionBy(*entity, "_bucket").orderBy("_i")
+    breaks = breaks.withColumn("_until", F.lead("_end").over(inside))
+    firsts = breaks.groupBy(*entity, "_bucket").agg(F.min_by("_end", "_i").alias("_first"))
+    over = Window.partitionBy(*entity).orderBy("_bucket")  # a row per RANKS intervals
+    nexts = firsts.withColumn("_later", F.lead("_first").over(over)).where("_later IS NOT NULL")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [*entity, "_bucket"]]
+    flat = breaks.alias("k").join(broadcast_checked(nexts).alias("n"), same, "left").select("k.*", "n._later")
+    until = F.coalesce("_until", "_later")
+    return flat.where("_start IS NOT NULL").select(*entity, F.col("_start").alias("period_from"), F.when(until != T_MAX, until).alias("period_to"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows looked at to guess which keys are heavy. Only the salting depends on the guess, no result does.
@@ -15,9 +15,17 @@ GUESS_SHARE = 1 / 200
 SALTS = 64
 
 
+def task_share(spark: SparkSession, most: float = GUESS_SHARE) -> float:
+    """The share of all rows that is too much for a task: half of what one of a shuffle's tasks gets on
+    average, and ``most`` at most, so that more and smaller tasks make more keys heavy."""
+    return min(most, 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def guess_heavy(df: DataFrame, keys: list[str], share: float = GUESS_SHARE, rows: int = GUESS_ROWS, total: int | None = None) -> list[tuple]:
-    """Keys that seem heavy in a bounded sample of rows; at most ``1 / share`` of them."""
+    """Keys that seem heavy in a bounded sample of rows; at most ``1 / share`` of them. Of a key right at
+    the share 100 rows at least are looked at."""
     total = df.count() if total is None else total
+    rows = max(rows, int(100 / share))
     if not total:
         return []
     looked = df.select(*keys) if total <= rows else df.select(*keys).sample(rows / total, seed=7)

@@ -8,19 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most snapshots whose times are kept in a plan; more are ranked by a join.
+from emberline.common import broadcast_checked, in_order
+
+#: Most snapshots whose times are kept in a plan; more are ranked in a table.
 MOST_SNAPSHOTS = 100_000
 #: Weights nearer than this are the same.
 TOLERANCE = 0.000001
 
 
-def snapshot_ranks(df: DataFrame, snapshot: str, most: int = MOST_SNAPSHOTS) -> tuple[DataFrame, int]:
+def snapshot_ranks(df: DataFrame, snapshot: str, most: int | None = None) -> tuple[DataFrame, int]:
     """(snapshot, _rank) with ranks 0.. in time order, and their number."""
-    times = sorted(row[0] for row in df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct().limit(most + 1).collect())
-    if len(times) > most:
-        raise ValueError(f"more than {most} snapshots; raise most to allow them")
+    most = most or MOST_SNAPSHOTS
+    times = df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct()
+    first = sorted(row[0] for row in times.limit(most + 1).collect())
+    if len(first) > most:
+        ranks = in_order(times, [snapshot], "_rank")
+        return ranks.select(snapshot, (F.col("_rank") - 1).cast("int").alias("_rank")), ranks.count()
     schema = T.StructType([T.StructField(snapshot, df.schema[snapshot].dataType), T.StructField("_rank", T.IntegerType())])
-    return df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(times)], schema), len(times)
+    return df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(first)], schema), len(first)
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str) -> DataFrame:
@@ -73,7 +78,7 @@ def validity_intervals(
     """
     keys = list(keys)
     ranks, n = snapshot_ranks(df, snapshot)
-    rows = df.select(*keys, snapshot, order, *flags, *numbers).join(F.broadcast(ranks), snapshot)
+    rows = df.select(*keys, snapshot, order, *flags, *numbers).join(broadcast_checked(ranks), snapshot)
     rows = latest_rows(rows, [*keys, "_rank"], [*flags, *numbers], order)
     w = Window.partitionBy(*keys).orderBy("_rank")
     names = ["_rank", *flags, *numbers]
@@ -118,7 +123,7 @@ def snapshot_changes(df: DataFrame, keys: Sequence[str], snapshot: str, order: s
     begins = F.when(F.col("_first") > 0, event(F.col("_first"), F.when(F.col("_joins"), F.lit("changed")).otherwise(F.lit("added"))))
     stops = F.when(~F.col("_joined") & (F.col("_last") < n - 1), event(F.col("_last") + 1, F.lit("removed")))
     events = islands.select(*keys, F.explode(F.array_compact(F.array(begins, stops))).alias("_e")).select(*keys, "_e.*")
-    return events.join(F.broadcast(ranks), "_rank").select(snapshot, *keys, "diff")
+    return events.join(broadcast_checked(ranks), "_rank").select(snapshot, *keys, "diff")
 
 
 def snapshot_intervals(df: DataFrame, keys: Sequence[str], snapshot: str, order: str, **options) -> DataFrame:
@@ -126,4 +131,4 @@ def snapshot_intervals(df: DataFrame, keys: Sequence[str], snapshot: str, order:
     islands, ranks, _ = validity_intervals(df, keys, snapshot, order, **options)
     first = ranks.select(F.col("_rank").alias("_first"), F.col(snapshot).alias("valid_since"))
     last = ranks.select(F.col("_rank").alias("_last"), F.col(snapshot).alias("valid_until"))
-    return islands.join(F.broadcast(first), "_first").join(F.broadcast(last), "_last").select(*keys, "valid_since", "valid_until")
+    return islands.join(broadcast_checked(first), "_first").join(broadcast_checked(last), "_last").select(*keys, "valid_since", "valid_until")
