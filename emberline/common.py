@@ -136,7 +136,9 @@ def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
     least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
-    return df.repartition(cores, *keys) if size < cores * least else df
+    # each file counts as so much more, so a small table in many files has tasks enough
+    few = size < cores * least and size + len(df.inputFiles()) * least < cores * least
+    return df.repartition(cores, *keys) if few else df
 
 
 def real_edges(edges: DataFrame) -> DataFrame:
