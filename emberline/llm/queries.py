@@ -27,8 +27,7 @@ def p2_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cooccur.cooccurrence(load(spark, sf_dir, "traces"), "db", "trace_id", "surfaced", "node", min_count=MIN_TRACES)
-    lifted = pairs.where(F.col("n_ab") * F.col("n") >= MIN_LIFT * F.col("n_a") * F.col("n_b"))
-    return lifted.select(F.col("grp").alias("db"), "node_a", "node_b")
+    return cooccur.lift_at_least(pairs, MIN_LIFT).select(F.col("grp").alias("db"), "node_a", "node_b")
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:

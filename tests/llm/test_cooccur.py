@@ -58,3 +58,17 @@ def test_lift_and_nothing(spark):
     _, out = run(spark, rows, min_count=5)
     assert out.first()["lift"] == pytest.approx(4.0)
     assert run(spark, [], min_count=1)[0] == {}
+
+
+def test_more_items_than_can_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "small_enough", lambda df: False)
+    rows = sample(3)
+    assert run(spark, rows, min_count=3, heavy_share=0.1)[0] == brute(rows, 3)
+
+
+def test_lift_is_compared_exactly(spark):
+    # n_ab * n against 3 * n_a * n_b at the limit, far beyond 64 bits
+    rows = [(k, n, ab, a, b) for k, n, ab, a, b in [(1, 9 * 10**17, 10**17, 3 * 10**16, 10**18 - 1), (2, 3 * 10**17, 10**17, 10**17, 10**17), (3, 3 * 10**17 - 1, 10**17, 10**17, 10**17)]]
+    df = spark.createDataFrame(rows, "k int, n long, n_ab long, n_a long, n_b long")
+    want = [k for k, n, ab, a, b in rows if ab * n >= 3 * a * b]
+    assert [r["k"] for r in cooccur.lift_at_least(df, 3).orderBy("k").collect()] == want and 2 in want and 3 not in want
