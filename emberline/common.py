@@ -126,6 +126,53 @@ def in_order(df: DataFrame, order: list[str], rank: str) -> DataFrame:
     return placed.select(*df.columns, (F.col("_before") + F.col("_in")).alias(rank))
 
 
+def in_chunks(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
+    """``df`` with ``_range`` and ``_chunk``: runs of rows in the order of a group, whose runs come in the order of both.
+    No run has more than ``size`` rows, and no task sorts more than a range, however many rows a group has."""
+    ranged = written(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "chunks")
+    w = Window.partitionBy("_range").orderBy(*group, *order)
+    return ranged.withColumn("_chunk", F.floor((F.row_number().over(w) - 1) / size))
+
+
+def fold_in_order(df: DataFrame, group: list[str], order: list[str], values: list[str], start: tuple, step, result: str) -> DataFrame:
+    """(group, n, result) of each group: ``step(state, *lists)`` takes the state over a run of rows' ``values`` in order, for
+    folds that have no form in which parts could be put together.
+
+    A group's rows go to one task, which reads them sorted, batch by batch, and holds a batch and one state: a group may
+    be larger than its memory, though not faster than one core. A null in a group is a value."""
+    names = list(dict.fromkeys([*group, *order, *values]))
+    sorted_ = df.select(*names).repartition(*group).sortWithinPartitions(*group, *order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*group).schema)
+
+    def run(batches):
+        import pandas as pd
+
+        key, state, n, rows = None, start, 0, []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf[group].astype(object).where(pdf[group].notna(), None)
+            new = (keys != keys.shift()).any(axis=1) & ~(keys.isna() & keys.shift().isna()).all(axis=1)
+            cuts = [0, *[i for i in new.to_numpy().nonzero()[0].tolist() if i], len(pdf)]
+            lists = [pdf[v].tolist() for v in values]
+            for a, b in zip(cuts, cuts[1:]):
+                mine = tuple(keys.iloc[a])
+                if mine != key:
+                    if key is not None:
+                        rows.append((*key, n, *state))
+                    key, state, n = mine, start, 0
+                state, n = step(state, *[x[a:b] for x in lists]), n + b - a
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=[*group, "n", *fields])
+                rows = []
+        if key is not None:
+            rows.append((*key, n, *state))
+        yield pd.DataFrame(rows, columns=[*group, "n", *fields])
+
+    fields = [f.strip().split(" ")[0] for f in result.split(",")]
+    return sorted_.mapInPandas(run, f"{kinds}, n long, {result}")
+
+
 def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work in Python that costs far more than
     moving its rows. A scan of many files has enough and stays as it is; only a few small files are spread."""

@@ -35,7 +35,8 @@ def edge_key(src: str, dst: str, kind: str, valid_from: str) -> Column:
 
 
 def canonical_json(text: str | Column) -> Column:
-    """JSON text with sorted keys and no spaces, numbers as written; null where it is no JSON."""
+    """JSON text with sorted keys and no spaces, numbers as written; null where it is no JSON. Runs in Python; where
+    numbers may be put as they please use :func:`canonical`."""
 
     @F.pandas_udf("string")
     def canon(texts: pd.Series) -> pd.Series:
@@ -67,3 +68,10 @@ class _Encoder(json.JSONEncoder):
         return json.encoder._make_iterencode(
             {}, self.default, json.encoder.encode_basestring, None, lambda x: repr(x), self.key_separator, self.item_separator, self.sort_keys, self.skipkeys, False
         )(o, 0)
+
+
+def canonical(text: str | Column) -> Column:
+    """JSON text with sorted keys and no spaces, so that equal values are equal texts (1.0 is 1); text that is no JSON,
+    or has a key twice in an object, stays as it is."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)

@@ -12,7 +12,7 @@ from emberline.config import Config
 from emberline.functions.weights import alive, decay_rate, effective
 from emberline.operators import learn, maintain, match, spread, temporal, traverse
 from emberline.sources import oplog
-from emberline.sources.sidecar import load_version, save_version
+from emberline.sources.sidecar import append_rows, load_version, save_version
 from emberline.sources.stores import KEPT, keep_latest
 
 _NAME = re.compile(r"[a-z0-9_-]{1,64}")
@@ -25,8 +25,9 @@ _STATE = "src string, dst string, kind string, valid_from long, weight double, t
 class Memory:
     """A database under ``root/name``. There is one writer; readers see whole versions.
 
-    Tables are written as new versions beside the old ones and made current in one
-    step, so a job that fails leaves everything as it was.
+    Operations are appended to the log; other tables are written as new versions
+    beside the old ones and made current in one step, so a job that fails leaves
+    everything as it was. The controller's state is kept with them.
     """
 
     def __init__(self, spark: SparkSession, root: str, name: str = "main", config: Config | None = None):
@@ -34,7 +35,8 @@ class Memory:
             raise ValueError("a database's name has 1 to 64 of a-z, 0-9, _ and -")
         self.spark, self.root = spark, f"{root}/{name}"
         self.config = config or self._stored_config() or Config()
-        self.lambda_scale, self.integral, self.ewma = 1.0, 0.0, None
+        held = load_version(spark, self.root, "controller")
+        self.lambda_scale, self.integral, self.ewma = tuple(held.first()) if held is not None else (1.0, 0.0, None)
 
     # -- state ---------------------------------------------------------------
 
@@ -70,7 +72,7 @@ class Memory:
 
     def versions(self) -> DataFrame:
         kinds = oplog.fold_nodes(self.ops()).select("name", "type", "placeholder")
-        return oplog.fold_versions(self.ops()).join(kinds, "name").withColumn("origin", F.lit(None).cast("string"))
+        return oplog.fold_versions(self.ops()).join(kinds, "name")
 
     def names(self, t: int) -> DataFrame:
         return self.versions().where(alive("observed_at", "retired_at", t)).select("name").distinct()
@@ -78,7 +80,7 @@ class Memory:
     # -- writing -------------------------------------------------------------
 
     def _append(self, ops: DataFrame) -> None:
-        save_version(self.ops().unionByName(ops), self.root, "ops")
+        append_rows(ops.select(*self.ops().columns), self.root, "ops")
 
     def _next_batch(self) -> int:
         last = self.ops().agg(F.max("ord.batch")).first()[0]
@@ -90,9 +92,9 @@ class Memory:
 
     def ingest(self, entities: DataFrame, ts: int, reconcile: bool = False, origin: str | None = None) -> None:
         """Observe entities (name, type, props, edges, origin[, rec]); with ``reconcile`` they are the whole truth,
-        and what they assert no more is retired. Without ``rec`` records are ordered by name."""
+        and what they assert no more is retired. Without ``rec`` records keep the order of the frame."""
         batch = self._next_batch()
-        rec = F.col("rec") if "rec" in entities.columns else F.xxhash64("name", "type", "props")
+        rec = F.col("rec") if "rec" in entities.columns else F.monotonically_increasing_id()
         ops = self._numbered(oplog.entity_ops(entities.withColumn("rec", rec.cast("long")), F.lit(ts).cast("long"), ["rec"], origin), batch)
         self._append(ops)
         if reconcile:
@@ -102,7 +104,7 @@ class Memory:
         """Observe a whole snapshot of cloud assets (name, assetType, ancestors, resource[, rec]); what it asserts no more is
         retired. An asset asserts itself and its containers, not what it refers to."""
         batch = self._next_batch()
-        rec = F.col("rec") if "rec" in assets.columns else F.xxhash64("name", "assetType", "ancestors", "resource.data")
+        rec = F.col("rec") if "rec" in assets.columns else F.monotonically_increasing_id()
         self._append(self._numbered(oplog.asset_ops(assets.withColumn("rec", rec.cast("long")), F.lit(ts).cast("long"), ["rec"]), batch))
         self._reconcile(batch, oplog.asserting(self.ops().where(F.col("ord.batch") == batch)), ts)
 
@@ -154,6 +156,7 @@ class Memory:
         if adapt:
             mass = result.mass().first()
             (self.ewma, self.integral, self.lambda_scale) = spread.homeostat([mass["mass"] if mass else 0.0], self.config, self.integral, self.ewma)[0]
+            save_version(self.spark.createDataFrame([(self.lambda_scale, self.integral, self.ewma)], "lambda_scale double, integral double, ewma double"), self.root, "controller")
         return result.top(top_k).orderBy("rank").select("node", "act")
 
     # -- learning ------------------------------------------------------------
@@ -262,9 +265,7 @@ class Memory:
 
     def _open_node_ops(self) -> DataFrame:
         open_ = oplog.fold_versions(self.ops()).where(F.col("retired_at") == T_MAX)
-        said = self.ops().where("op IN ('observe_node', 'observe_placeholder')").groupBy("name", F.col("ts").alias("observed_at")).agg(F.max_by("origin", "ord").alias("origin"))
-        kinds = oplog.fold_nodes(self.ops())
-        rows = open_.join(kinds, "name").join(said, ["name", "observed_at"], "left")
+        rows = open_.join(oplog.fold_nodes(self.ops()), "name")
         op = F.when(F.col("placeholder"), "observe_placeholder").otherwise("observe_node")
         null = F.lit(None).cast("string")
         return rows.select("first_ord", op.alias("op"), "name", "type", "props", null.alias("src"), null.alias("dst"), null.alias("kind"), F.col("observed_at").alias("ts"), "origin")

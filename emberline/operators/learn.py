@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.common import in_chunks
 from emberline.config import Config
 from emberline.operators.spread import EDGE, Spread
 
@@ -26,21 +27,36 @@ def touch_linear(events: DataFrame, key: str, t: str, r: str, w0: float, t0: int
     return joined.groupBy(key, "n", "t_last", "_first").agg(F.sum(part).alias("_s")).select(key, "n", (base + F.col("_s")).alias("w"), "t_last")
 
 
-def touch_fold(events: DataFrame, key: str, order: list[str], t: str, r: str, w0: float, rate: float, config: Config) -> DataFrame:
+#: Touches of a key that are folded in one row.
+FOLD_ROWS = 4096
+
+
+def touch_fold(events: DataFrame, key: str, order: list[str], t: str, r: str, w0: float, rate: float, config: Config, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(key, n, w, t_last): each touch in order decays the weight to its time, adds alpha times the
     clipped R and stops at 0. Time never runs backwards for decay, but the last time is taken as it comes.
-    A key's touches are folded in one place; use :func:`touch_linear` for very hot keys without negative R."""
-    state = "struct<w:double,t:bigint>"
-    e = events.where(F.col(r).isNotNull() & ~F.isnan(F.col(r).cast("double")))
-    zero = F.struct(F.lit(float(w0)).alias("w"), F.lit(None).cast("long").alias("t")).cast(state)
+
+    What a run of touches makes of a weight w is the greater of a c and a w + b, and so is what two runs make of it
+    one after the other. A key's touches are cut into runs of ``fold_rows`` in order, each run is folded to its
+    (a, b, c), and these few are folded per key."""
+    e = events.where(F.col(key).isNotNull() & F.col(r).isNotNull() & ~F.isnan(F.col(r).cast("double"))).select(key, *dict.fromkeys([*order, t]), F.col(r).cast("double").alias("r_"))
+    shape = "struct<a:double,b:double,c:double,first:bigint,t:bigint>"
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("c"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("t")).cast(shape)
+    decay = lambda since, now: F.exp(-F.lit(rate) * F.greatest(now - F.coalesce(since, now), F.lit(0)) / 1000)
 
     def step(acc, x):
-        dt = F.greatest(x["t_"] - F.coalesce(acc["t"], x["t_"]), F.lit(0)) / 1000
-        w = acc["w"] * F.exp(-F.lit(rate) * dt) + F.lit(config.alpha) * clipped(x["r_"], config)
-        return F.struct(F.greatest(w, F.lit(0.0)).alias("w"), x["t_"].alias("t")).cast(state)
+        d, add = decay(acc["t"], x["t_"]), F.lit(config.alpha) * clipped(x["r_"], config)
+        return F.struct((acc["a"] * d).alias("a"), (acc["b"] * d + add).alias("b"), F.greatest(acc["c"] * d + add, F.lit(0.0)).alias("c"), F.coalesce(acc["first"], x["t_"]).alias("first"), x["t_"].alias("t")).cast(shape)
+
+    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(t).cast("long").alias("t_"), "r_")))
+    runs = in_chunks(e, [key], order, fold_rows).groupBy(key, "_range", "_chunk").agg(F.count("*").alias("n"), F.aggregate(rows, none, step).alias("_f"))
+
+    def join(acc, x):
+        w = acc["w"] * decay(acc["t"], x["_f"]["first"])
+        return F.struct(F.greatest(x["_f"]["c"], x["_f"]["a"] * w + x["_f"]["b"]).alias("w"), x["_f"]["t"].alias("t")).cast("struct<w:double,t:bigint>")
 
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(t).alias("t_"), F.col(r).cast("double").alias("r_"))))
-    return e.groupBy(key).agg(F.count("*").alias("n"), F.aggregate(rows, zero, step).alias("_s")).select(key, "n", F.col("_s.w").alias("w"), F.col("_s.t").alias("t_last"))
+    start = F.struct(F.lit(float(w0)).alias("w"), F.lit(None).cast("long").alias("t")).cast("struct<w:double,t:bigint>")
+    in_turn = F.array_sort(F.collect_list(F.struct("_range", "_chunk", "_f")))
+    return runs.groupBy(key).agg(F.sum("n").alias("n"), F.aggregate(in_turn, start, join).alias("_s")).select(key, "n", F.col("_s.w").alias("w"), F.col("_s.t").alias("t_last"))
 
 
 # -- credit modes: each gives (query, node, cred) ----------------------------------

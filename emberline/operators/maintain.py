@@ -65,13 +65,15 @@ def conflicts(state: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def kth_smallest(df: DataFrame, value: str, k: int) -> float | None:
-    """The value of rank ``k`` (from 0): rows are range partitioned, the ranges' counts tell which holds it, and only that one is sorted."""
-    ranged = written(df.select(value).repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "ranged")
-    for part, n in sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()):
+    """The value of rank ``k`` (from 0). Rows are counted per value, map-side first, so equal ones are one row; values are
+    range partitioned, the ranges' sums tell which holds the rank, and only that one is sorted. Nulls have no rank."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    ranged = written(counts.repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "ranged")
+    for part, n in sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum("_n").alias("n")).collect()):
         if k < n:
             rows = ranged.where(F.col("_range") == part)
-            w = Window.partitionBy("_range").orderBy(value)
-            return rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") == k + 1).first()[value]
+            w = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+            return rows.withColumn("_upto", F.sum("_n").over(w)).where(F.col("_upto") > k).agg(F.min(value)).first()[0]
         k -= n
     return None
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.common import fold_in_order
 from emberline.config import Config
 from emberline.functions.weights import alive, decay_rate, effective, trust
 
@@ -157,17 +158,10 @@ def homeostat(masses: Iterator[float], config: Config, integral: float = 0.0, ew
 
 def homeostat_series(df: DataFrame, group: str, order: list[str], mass: str, config: Config) -> DataFrame:
     """(group, n, ewma, integral, lambda_scale) after all of a group's masses: the clamped fold has no closed
-    form, so a group's masses are folded in order; groups are independent."""
-    c = config
-    state = "struct<p:boolean,e:double,i:double>"
-    zero = F.struct(F.lit(False).alias("p"), F.lit(0.0).alias("e"), F.lit(0.0).alias("i")).cast(state)
-
-    def step(acc, x):
-        e = F.when(acc["p"], F.lit(c.ewma_beta) * acc["e"] + F.lit(1 - c.ewma_beta) * x["m"]).otherwise(x["m"])
-        i = F.least(F.greatest(acc["i"] + e - F.lit(c.setpoint), F.lit(c.integral_min)), F.lit(c.integral_max))
-        return F.struct(F.lit(True).alias("p"), e.alias("e"), i.alias("i")).cast(state)
-
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(mass).cast("double").alias("m"))))
-    folded = df.groupBy(group).agg(F.count("*").alias("n"), F.aggregate(rows, zero, step).alias("_s"))
-    scale = F.least(F.greatest(1 + F.lit(c.k_i) * F.col("_s.i"), F.lit(c.scale_min)), F.lit(c.scale_max))
-    return folded.select(group, "n", F.col("_s.e").alias("ewma"), F.col("_s.i").alias("integral"), scale.alias("lambda_scale"))
+    form, so a group's masses are streamed in order; groups are independent. A null mass stops the state: it is left out."""
+
+    def step(state: tuple, masses: list[float]) -> tuple:
+        return homeostat(masses, config, state[1], state[0])[-1]
+
+    rows = df.where(F.col(mass).isNotNull()).withColumn("_m", F.col(mass).cast("double"))
+    return fold_in_order(rows, [group], order, ["_m"], (None, 0.0, 1.0), step, "ewma double, integral double, lambda_scale double")

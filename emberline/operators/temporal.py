@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.common import T_MAX
+from emberline.functions.keys import canonical
 from emberline.functions.weights import alive
 
 
-def fold_node_versions(ops: DataFrame, key: str, order: list[str], kind: str, state: str, ts: str) -> DataFrame:
-    """(key, seq, observed_at, retired_at, state) out of ordered operations of a node.
+def fold_node_versions(ops: DataFrame, key: str, order: list[str], kind: str, state: str, ts: str, same: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, seq, observed_at, retired_at, state, extra) out of ordered operations of a node.
 
     ``kind`` is 'observe', 'placeholder' or 'retire'. An observation opens a version
-    unless the open one has the same state; a placeholder opens one with state
+    unless the open one has the same state, or the same value of ``same`` if that is
+    given; ``extra`` are columns of the one that opens it; a placeholder opens one with state
     'null' only if none is open; a retirement closes the open one. Order decides,
     times only stamp. One window pass per key; keys are spread by hash.
 
@@ -22,7 +24,7 @@ def fold_node_versions(ops: DataFrame, key: str, order: list[str], kind: str, st
     """
     w = Window.partitionBy(key).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    label = F.when(F.col(kind) == "retire", F.lit("C")).when(F.col(kind) == "observe", F.concat(F.lit("V"), F.coalesce(F.col(state), F.lit("null"))))
+    label = F.when(F.col(kind) == "retire", F.lit("C")).when(F.col(kind) == "observe", F.concat(F.lit("V"), F.coalesce(F.col(state) if same is None else same, F.lit("null"))))
     rows = ops.where(F.col(key).isNotNull()).withColumn("_label", label)
     rows = rows.withColumn("_was", F.last("_label", ignorenulls=True).over(before))
     # a placeholder while nothing is open opens a version; while one is open it does nothing
@@ -35,7 +37,8 @@ def fold_node_versions(ops: DataFrame, key: str, order: list[str], kind: str, st
         F.row_number().over(w).alias("seq"),
         F.col(ts).alias("observed_at"),
         F.coalesce("_next_ts", F.lit(T_MAX)).alias("retired_at"),
-        F.expr("substring(_label, 2)").alias("state"),
+        F.when(F.col(kind) == "placeholder", "null").otherwise(F.coalesce(F.col(state), F.lit("null"))).alias("state"),
+        *extra,
     )
 
 
@@ -79,7 +82,8 @@ def diff_nodes(versions: DataFrame, t1: int, t2: int) -> DataFrame:
     latest = lambda t: F.max_by(F.when(at(t), props), F.when(at(t), F.struct("observed_at", "retired_at", "props")))
     rows = versions.where("NOT placeholder").groupBy("name").agg(latest(t1).alias("_a"), latest(t2).alias("_b"))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")
-    return rows.where("_a IS NOT NULL OR _b IS NOT NULL").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("name", change.alias("change"))
+    differ = ~F.col("_a").eqNullSafe(F.col("_b")) & ~canonical("_a").eqNullSafe(canonical("_b"))
+    return rows.where("_a IS NOT NULL OR _b IS NOT NULL").where(differ).select("name", change.alias("change"))
 
 
 def rendered(src: str = "src", kind: str = "kind", dst: str = "dst") -> Column:

@@ -84,7 +84,3 @@ def paths(edges: DataFrame, start: str, most_hops: int = 3, top: int = 10) -> Da
 def graph_dump(edges: DataFrame, most: int = 500) -> DataFrame:
     """The first edges in (src, valid_from, kind, dst) order, as a picture needs them."""
     return edges.select("src", "dst", "kind", "valid_from").orderBy("src", "valid_from", "kind", "dst").limit(most)
-
-
-def winner(rows: DataFrame, by: list[str], order: list) -> DataFrame:
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.common import T_MAX, load, real_edges
+from emberline.common import T_MAX, fold_in_order, load, real_edges
 from emberline.config import Config
 from emberline.functions.weights import alive, decay_rate, effective, millis, name_tokens, trust
 from emberline.operators import learn, maintain, match, snapshots, spread, temporal, traverse
@@ -424,15 +424,15 @@ def request_histogram(spark, sf_dir):
 
 def idempotent_dedup(spark, sf_dir):
     """Per user and event type, the first request of each 24 hours since the request that opened them counts."""
-    state = "struct<n:bigint,t:bigint>"
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("t")).cast(state)
-
-    def step(acc, x):
-        fresh = acc["t"].isNull() | (x - acc["t"] >= 86_400_000)
-        return F.struct((acc["n"] + F.when(fresh, 1).otherwise(0)).alias("n"), F.when(fresh, x).otherwise(acc["t"]).alias("t")).cast(state)
-
-    per = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.aggregate(F.array_sort(F.collect_list("t")), zero, step).alias("s"), F.count("*").alias("n_requests"))
-    return per.select("user_id", "event_type", "n_requests", F.col("s.n").alias("n_executed"))
+    def step(state, times):
+        n, opened = state
+        for t in times:
+            if opened is None or t - opened >= 86_400_000:
+                n, opened = n + 1, t
+        return n, opened
+
+    per = fold_in_order(_events(spark, sf_dir), ["user_id", "event_type"], ["t"], ["t"], (0, None), step, "n_executed long, opened long")
+    return per.select("user_id", "event_type", F.col("n").alias("n_requests"), "n_executed")
 
 
 _NAMES = """asof_nodes asof_edges diff_nodes diff_edges open_edge_lookup blast_radius_down blast_radius_up blast_radius_both neighborhood_edges graph_dump

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberline.common import T_MAX
 from emberline.functions.jsonindex import STRING, JsonIndex
+from emberline.functions.keys import canonical
 from emberline.functions.weights import infer_type
 from emberline.operators import temporal
 
@@ -210,8 +211,9 @@ def fold_nodes(ops: DataFrame) -> DataFrame:
 
 
 def fold_versions(ops: DataFrame) -> DataFrame:
-    """(name, seq, observed_at, retired_at, props): versions of every node; see :func:`temporal.fold_node_versions`."""
-    out = temporal.fold_node_versions(node_events(ops), "name", ["ord", "sub"], "k", "props", "ts")
+    """(name, seq, observed_at, retired_at, props, origin): versions of every node; see :func:`temporal.fold_node_versions`.
+    Properties are the same if they are the same JSON value, however it is written."""
+    out = temporal.fold_node_versions(node_events(ops), "name", ["ord", "sub"], "k", "props", "ts", canonical("props"), ("origin",))
     return out.withColumnRenamed("state", "props")
 
 

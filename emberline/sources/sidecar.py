@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +18,18 @@ def read_sidecar(spark: SparkSession, path: str, edges: DataFrame) -> DataFrame:
     Version 2 names edges by key; version 1 counts on their order, which ``edges``
     must then give as ``edge_id``. Edges the snapshot lacks keep their own values.
     """
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(2).collect())
-    doc = json.loads(text)
-    version = next((int(v) for k, v in doc.items() if k.endswith("_sidecar")), 1)
-    if version > MOST_VERSION:
-        raise ValueError(f"snapshot version {version} is newer than {MOST_VERSION}")
-    n = len(doc["w"])
-    by_key = doc.get("keys") is not None
-    keys = [str(k) for k in doc["keys"]] if by_key else list(range(n))
-    rows = pd.DataFrame({"_k": keys, "_w": doc["w"], "_t": doc["t_last"], "_d": doc.get("dead") or [False] * n})
-    state = spark.createDataFrame(rows, f"_k {'string' if by_key else 'long'}, _w double, _t long, _d boolean")
+    # one row a file, parsed where it is read; only its version and whether it has keys come to the driver
+    text = F.col("value")
+    doc = F.from_json(text, "w array<double>, t_last array<bigint>, dead array<boolean>, keys array<string>")
+    docs = spark.read.text(path, wholetext=True).select(F.regexp_extract(text, r'"\w*_sidecar"\s*:\s*(\d+)', 1).alias("_version"), doc.alias("_doc"))
+    about = docs.select(F.max(F.expr("try_cast(_version AS int)")), F.max(F.col("_doc.keys").isNotNull()), F.max(F.col("_doc.w").isNull())).first()
+    if about[0] is not None and about[0] > MOST_VERSION:
+        raise ValueError(f"snapshot version {about[0]} is newer than {MOST_VERSION}")
+    if about[2] is None or about[2]:
+        raise ValueError("no snapshot of learned state")
+    by_key = bool(about[1])
+    flat = docs.select("_doc.*").select(F.posexplode(F.arrays_zip(F.col("w"), F.col("t_last"), F.coalesce("dead", F.array().cast("array<boolean>")), F.coalesce("keys", F.array().cast("array<string>")))).alias("_i", "_x"))
+    state = flat.select((F.col("_x.3") if by_key else F.col("_i").cast("long")).alias("_k"), F.col("_x.w").alias("_w"), F.col("_x.t_last").alias("_t"), F.coalesce(F.col("_x.2"), F.lit(False)).alias("_d"))
     keyed = edges.withColumn("_k", edge_key("src", "dst", "kind", "valid_from")) if by_key else edges.withColumn("_k", F.col("edge_id"))
     out = keyed.join(state, "_k", "left")
     own = set(edges.columns)
@@ -66,5 +66,22 @@ def load_version(spark: SparkSession, root: str, name: str) -> DataFrame | None:
         if fs.exists(hadoop(f"{root}/{name}/{pointer}")):
             version = spark.read.text(f"{root}/{name}/{pointer}").first()
             if version:
-                return spark.read.parquet(f"{root}/{name}/{version[0]}")
+                return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/{name}/{version[0]}")
     return None
+
+
+def append_rows(df: DataFrame, root: str, name: str) -> None:
+    """Add rows to the current version of a table without rewriting it: they are written where no reader looks and
+    come into sight by one rename. A job that fails leaves the table as it was."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pointer = next((p for p in ("_current", "_next") if fs.exists(hadoop(f"{root}/{name}/{p}"))), None)
+    version = spark.read.text(f"{root}/{name}/{pointer}").first() if pointer else None
+    if not version:
+        save_version(df, root, name)
+        return
+    part = uuid.uuid4().hex
+    df.write.parquet(f"{root}/{name}/_{part}")
+    fs.rename(hadoop(f"{root}/{name}/_{part}"), hadoop(f"{root}/{name}/{version[0]}/added-{part}"))

@@ -59,7 +59,7 @@ def metrics_text(gauges: Mapping[str, float], histogram: DataFrame, bounds: list
     """Gauges and one histogram row per route (route, le_<bound>..., le_inf, total) in the text format of metric scrapers. Routes are few."""
     lines = [f"# TYPE {k} gauge\n{k} {v:g}" for k, v in gauges.items()]
     lines.append(f"# TYPE {name}_ms histogram")
-    for r in histogram.orderBy("route").limit(1000).collect():
+    for r in histogram.orderBy("route").toLocalIterator():
         lines += [f'{name}_ms_bucket{{route="{r["route"]}",le="{b}"}} {r[f"le_{b}"]}' for b in bounds]
         lines += [f'{name}_ms_bucket{{route="{r["route"]}",le="+Inf"}} {r["le_inf"]}', f'{name}_ms_sum{{route="{r["route"]}"}} {r["total"]:g}', f'{name}_ms_count{{route="{r["route"]}"}} {r["le_inf"]}']
     return "\n".join(lines) + "\n"

@@ -59,11 +59,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def check_header(lines: DataFrame) -> None:
-    head = lines.where(F.col("value").startswith("#")).select("value").limit(8).collect()
-    for row in head:
-        m = HEADER.match(row[0])
-        if m and int(m[1]) > MOST_VERSION:
-            raise ValueError(f"log version {m[1]} is newer than {MOST_VERSION}")
+    # all lines that may be headers, wherever they stand; the greatest version is all that comes back
+    version = F.try_to_number(F.regexp_extract("value", HEADER.pattern, 1), F.lit("9999999999")).cast("long")
+    newest = lines.where(F.col("value").startswith("#")).agg(F.max(version)).first()[0]
+    if newest is not None and newest > MOST_VERSION:
+        raise ValueError(f"log version {newest} is newer than {MOST_VERSION}")
 
 
 def verify_wal(spark: SparkSession, path: str) -> DataFrame:

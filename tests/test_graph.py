@@ -339,3 +339,71 @@ def test_memory(spark, tmp_path):
         Memory(spark, str(tmp_path), "No")
     m.quarantine("x", 0.0)
     assert Memory(spark, str(tmp_path)).config.trust_by_origin == {"x": 0.0}
+
+
+def test_versions_are_of_values_not_of_texts(spark, tmp_path):
+    from emberline.memory import Memory
+
+    m = Memory(spark, str(tmp_path), config=Config(lambda_base=0.0))
+    schema = "name string, type string, props string, edges array<struct<dst:string,kind:string,dst_type:string>>, origin string"
+    say = lambda props, ts, origin=None: m.ingest(spark.createDataFrame([("x", "t", props, None, origin)], schema), ts)
+    say('{"a": 1, "b": {"c": [1, 2], "d": null}}', 1000, "first")
+    say('{"b":{"d":null,"c":[1,2]},"a":1}', 2000, "again")
+    assert [(r["observed_at"], r["origin"]) for r in m.versions().collect()] == [(1000, "first")]
+    say('{"a": 1, "b": {"c": [2, 1], "d": null}}', 3000, "other")
+    m.retire("x", 4000)
+    say('{"a": 1}', 5000)
+    say("no json", 6000)
+    say("no json", 7000)
+    got = sorted((r["observed_at"], r["retired_at"], r["origin"]) for r in m.versions().collect())
+    assert got == [(1000, 3000, "first"), (3000, 4000, "other"), (5000, 6000, None), (6000, T_MAX, None)]
+    added, changed = m.diff(1500, 2500)[0].collect(), m.diff(1500, 3500)[0].collect()
+    assert added == [] and [tuple(r) for r in changed] == [("x", "changed")]
+
+
+def test_the_log_is_appended_to_and_the_controller_kept(spark, tmp_path):
+    from emberline.memory import Memory
+
+    m = Memory(spark, str(tmp_path), config=Config(lambda_base=0.0))
+    schema = "name string, type string, props string, edges array<struct<dst:string,kind:string,dst_type:string>>, origin string"
+    rows = [(f"n{i:02}", "t", None, [(f"n{i + 1:02}", "CALLS", "t")], None) for i in (5, 3, 9, 1)]
+    m.ingest(spark.createDataFrame(rows, schema).coalesce(1), 1000)
+    files = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "main" / "ops").rglob("*.parquet")}
+    m.ingest(spark.createDataFrame(rows[:1], schema), 2000)
+    now = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "main" / "ops").rglob("*.parquet")}
+    assert files.items() <= now.items() and len(now) > len(files)  # nothing was written again
+    said = m.ops().where("op = 'observe_node' AND ord.batch = 0").orderBy("ord").collect()
+    assert [r["name"] for r in said] == ["n05", "n03", "n09", "n01"]  # as they came
+    m.retrieve(["n05"], 3000, adapt=True)
+    again = Memory(spark, str(tmp_path))
+    assert (again.lambda_scale, again.integral, again.ewma) == (m.lambda_scale, m.integral, m.ewma) and again.ewma is not None
+
+
+@pytest.mark.parametrize("size", [1, 3, 4096])
+def test_folds_do_not_depend_on_the_runs(spark, size):
+    rng = random.Random(size)
+    c = Config(alpha=0.3, r_clip=1.0)
+    rows = [("hot", t, i, rng.uniform(-2, 2)) for i, t in enumerate(rng.randrange(50_000) for _ in range(900))] + [("one", 5, 1, -9.0), (None, 1, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t long, s long, r double").repartition(5)
+    want, last = 0.5, None
+    for _, t, _, r in sorted((x for x in rows if x[0] == "hot"), key=lambda x: (x[1], x[2])):
+        want = max(0.0, want * math.exp(-1e-2 * max(t - (t if last is None else last), 0) / 1000) + 0.3 * max(-1.0, min(1.0, r)))
+        last = t
+    got = {x["k"]: x for x in learn.touch_fold(df, "k", ["t", "s"], "t", "r", 0.5, 1e-2, c, fold_rows=size).collect()}
+    assert got["hot"]["w"] == pytest.approx(want) and got["hot"]["n"] == 900 and got["hot"]["t_last"] == last
+    assert got["one"]["w"] == pytest.approx(0.2) and set(got) == {"hot", "one"}
+
+
+def test_rank_among_equal_values(spark):
+    df = spark.createDataFrame([(0.5,)] * 5000 + [(0.1,)] * 3 + [(0.9,)] * 2 + [(None,)], "w double").repartition(4)
+    assert [maintain.kth_smallest(df, "w", k) for k in (0, 2, 3, 5002, 5003, 5004, 5005)] == [0.1, 0.1, 0.5, 0.5, 0.9, 0.9, None]
+
+
+def test_streamed_folds_keep_groups_apart(spark):
+    from emberline.common import fold_in_order
+
+    rows = [(g, i, float(i)) for g in ("a", "b", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(3)
+    step = lambda state, vs: (state[0] * 0.0 + vs[-1], state[1] + sum(vs))
+    got = {r["g"]: (r["n"], r["last"], r["total"]) for r in fold_in_order(df, ["g"], ["i"], ["v"], (0.0, 0.0), step, "last double, total double").collect()}
+    assert got == dict.fromkeys(("a", "b", None), (300, 299.0, 299.0 * 150))
